@@ -60,7 +60,7 @@ _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP1 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 pos AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM pos),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY doc_id),
@@ -89,9 +89,9 @@ WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'AB
 items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS k
         FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)),
-at AS (SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS k
+places AS (SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS k
        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM low, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
-occ AS (SELECT doc_id, i, at.m, item_id FROM at JOIN win USING (m, k)),
+occ AS (SELECT doc_id, i, m, item_id FROM places AS p JOIN win USING (m, k)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM occ) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM occ) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
@@ -130,7 +130,7 @@ p AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOP
 f AS (SELECT *, {rules} AS fit, regexp_replace(host, '^www\.', '') AS bare FROM p)
 SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule,
   CASE WHEN fit IS NOT NULL THEN split_part(fit, ' ', 1)
-       WHEN len(list_filter([{listed}], l -> bare = l OR ends_with(bare, '.' || l))) > 0 THEN 'block' ELSE 'allow' END AS verdict
+       WHEN len(list_filter([{listed}], lambda l: bare = l OR ends_with(bare, '.' || l))) > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM f"""
 
 
