@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, mixing, near_duplicates, quality_rules, token_counts, url_filters
+from . import decontamination, license_scan, mixing, near_duplicates, quality_rules, token_counts, toxicity, url_filters
 
 #: Target weights of the mix; sources that are not named weigh 1.
 MIX = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 2.0}
@@ -25,6 +25,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = toxicity.fold("doc_id", 5) == 0
+    field = toxicity.fit_field(docs, labels.where(~held_out))
+    scored = toxicity.toxicity(docs, field)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_near_duplicates, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing)
+    for f in (op1_quality_rules, op3_near_duplicates, op4_toxicity, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing)
 }
 
 
