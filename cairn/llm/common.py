@@ -33,7 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written Parquet table: its lineage ends here, lost executors lose nothing of it."""
     path = f"{scratch_dir(df.sparkSession)}-{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,3 +57,20 @@ def runs(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for each length n, one after another."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An integer array as compressed bytes: byte by byte plane, so that small and sorted numbers shrink."""
+    import zstandard
+
+    x = np.ascontiguousarray(x)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b""
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()

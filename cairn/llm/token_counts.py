@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import packed, texts, unpacked, written
 
 LIMIT = 512
 
@@ -91,17 +91,24 @@ def _frequencies(path: str):
                 sizes.append(len(i))
                 ids.append(i)
                 counts.append(c.astype(np.uint32))
-            join = lambda x: (np.concatenate(x) if x else np.zeros(0, np.uint32)).tobytes()
+            # Neighbours in order share beginnings, which the shuffles compress; ids are kept as steps within a document.
+            pieces = sorted(local)
+            place = np.empty(len(pieces), np.uint32)
+            place[[local[p] for p in pieces]] = np.arange(len(pieces), dtype=np.uint32)
+            order = [np.sort(place[i]) for i in ids]
+            counts = [c[np.argsort(place[i])] for i, c in zip(ids, counts, strict=True)]
+            steps = [np.diff(i, prepend=np.uint32(0)) for i in order]
+            join = lambda x: packed(np.concatenate([np.zeros(0, np.uint32), *x]))
             yield pd.DataFrame(
                 {
-                    "batch": [f"{part}-{seq}"],
+                    "batch": [(part << 32) + seq],
                     "doc_ids": [pdf["doc_id"].to_numpy(np.int64).tobytes()],
                     "n_bytes": [np.array(n_bytes, np.int64).tobytes()],
                     "base": [np.array(base, np.int64).tobytes()],
                     "sizes": [np.array(sizes, np.int64).tobytes()],
-                    "ids": [join(ids)],
+                    "ids": [join(steps)],
                     "counts": [join(counts)],
-                    "pieces": [list(local)],
+                    "pieces": [pieces],
                 }
             )
 
@@ -125,7 +132,10 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples():
             doc_ids, n_bytes, base, sizes = (np.frombuffer(x, np.int64) for x in (row.doc_ids, row.n_bytes, row.base, row.sizes))
-            ids, counts = np.frombuffer(row.ids, np.uint32), np.frombuffer(row.counts, np.uint32)
+            steps, counts = unpacked(row.ids, np.uint32), unpacked(row.counts, np.uint32)
+            ends = np.cumsum(steps, dtype=np.int64)
+            before = np.r_[0, ends][np.cumsum(sizes) - sizes]
+            ids = ends - np.repeat(before, sizes)
             n = np.zeros(len(ids) and int(ids.max()) + 1, np.int64)
             if row.at is not None:
                 n[np.asarray(row.at)] = np.asarray(row.n)
@@ -139,7 +149,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     table = written(
         texts(docs).mapInPandas(
             _frequencies(tokenizer),
-            "batch string, doc_ids binary, n_bytes binary, base binary, sizes binary, ids binary, counts binary, pieces array<string>",
+            "batch long, doc_ids binary, n_bytes binary, base binary, sizes binary, ids binary, counts binary, pieces array<string>",
         ),
         "frequencies",
     )
