@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, mixing, near_duplicates, quality_rules, token_counts, toxicity, url_filters
+from . import decontamination, language_model, license_scan, mixing, near_duplicates, quality_rules, token_counts, toxicity, url_filters
 
 #: Target weights of the mix; sources that are not named weigh 1.
 MIX = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 2.0}
@@ -55,6 +55,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(table(spark, sf_dir, "documents"), MIX)
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.fold("doc_id", 7) == 2
+    scored = language_model.language_model(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_near_duplicates, op4_toxicity, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing)
+    for f in (op1_quality_rules, op3_near_duplicates, op4_toxicity, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing, op10_language_model)
 }
 
 
