@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, license_scan, mixing, near_duplicates, quality_rules, token_counts, toxicity, url_filters
+from . import decontamination, language_model, license_scan, mixing, near_duplicates, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
 
 #: Target weights of the mix; sources that are not named weigh 1.
 MIX = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 2.0}
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_near_duplicates, op4_toxicity, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing, op10_language_model)
+    for f in (op1_quality_rules, op2_suffix_dedup, op3_near_duplicates, op4_toxicity, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing, op10_language_model)
 }
 
 
