@@ -10,6 +10,7 @@ an empty table gives an empty result; columns beyond doc_id and text are not rea
 
 from __future__ import annotations
 
+import re
 import time
 from typing import NamedTuple
 
@@ -88,6 +89,16 @@ def measured_order(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
+def good_documents(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that the cascade keeps, with all their columns."""
+    order = measured_order(docs, RULES if rules is None else rules, sample_rows)
+    tests = ["n_words < 50", "100 * n_repeat_words > 50 * n_words", *(r.rejects for r in order)]
+    cases = " ".join(f"WHEN {re.sub(rf'\b({"|".join(BASE)})\b', r'b.\1', x)} THEN false" for x in tests)
+    # One expression of text alone: other columns may have any names.
+    kept = f"transform(array(coalesce(text, '')), text -> transform(array({_BASE}), b -> CASE {cases} ELSE true END)[0])[0]"
+    return docs.where(F.expr(kept))
+
+
 def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for each row of docs."""
     counted = base_counts(docs)

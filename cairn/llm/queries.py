@@ -73,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_suffix_dedup, op3_near_duplicates, op4_toxicity, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing, op10_language_model)
+    for f in (op1_quality_rules, op2_suffix_dedup, op3_near_duplicates, op4_toxicity, op5_token_counts, op6_decontamination, op7_license_scan, op8_url_filters, op9_mixing, op10_language_model, pipeline)
 }
 
 
