@@ -74,3 +74,9 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     kind = np.dtype(kind)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def slices(pdf, size: int):
+    """Consecutive parts of a batch with about size characters of text each, so that work arrays stay small."""
+    for _, part in pdf.groupby(pdf["text"].str.len().cumsum().to_numpy() // size, sort=False):
+        yield part

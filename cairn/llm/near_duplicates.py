@@ -32,13 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, runs, texts, written
+from .common import LOWER, mix64, runs, slices, texts, written
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
+SLICE_CHARS = 2 << 20  # text that is signed at once
 #: Sketch bits that may differ. At similarity 0.8 a bit differs with probability 0.1: 12.8 expected of 128, deviation 3.4.
 SKETCH_BITS = 36
 
@@ -116,7 +117,7 @@ def _signed(size: int, registers: int, band_rows: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import blake2b
 
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in slices(batch, SLICE_CHARS)):
             text = pdf["text"].tolist()
             bags = shingles(text, size)
             times = bag_minhash(bags, registers)
@@ -142,8 +143,8 @@ def _signed(size: int, registers: int, band_rows: int):
 def _verified(size: int, similarity: float):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000]
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
                 own = dict(zip(part["a"].tolist(), part["text_a"], strict=True)) | dict(zip(part["b"].tolist(), part["text_b"], strict=True))
                 bags = dict(zip(own, shingles(list(own.values()), size), strict=True))
                 keep = []

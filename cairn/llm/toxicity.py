@@ -27,13 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import slices, texts, written
 
 LABELLED_ROWS = 20_000  # bound of the labelled sample for word counts
 FIELD_ROWS = 3_000  # bound of the labelled sample for the field and the logistic function
 FEATURES = 1 << 18
 TRAIN_CUT = 256  # tokens per training chain; scoring chains are whole texts
 STEPS = 60
+SLICE_CHARS = 8 << 20  # text that is tagged at once
 
 #: Bytes of words: ASCII letters (lower-cased) and all non-ASCII bytes; the rest separates.
 _LETTER = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -232,7 +233,7 @@ def toxicity(docs: DataFrame, field: Field, spans: bool = False) -> DataFrame:
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model.value
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in slices(batch, SLICE_CHARS)):
             ids, sizes, words = _numbered(pdf["text"].tolist())
             p = own.marginals(ids, sizes, words)
             x = own.documents(p, sizes)
