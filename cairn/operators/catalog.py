@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key: the first in order."""
@@ -86,7 +88,8 @@ def request_depth(links: DataFrame, source: str, max_depth: int = 12) -> DataFra
     front = seen
     for depth in range(1, max_depth + 1):
         step = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        front = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
+        front = written(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -28,7 +28,7 @@ def reassemble(parts: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
     One file's chunks meet in one row, which is as large as the file itself.
     """
-    joined = parts.join(stored, "hash", "left")
+    joined = parts.select(key, "pos", "hash").join(stored.select("hash", "chunk"), "hash", "left")
     put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "")
     whole = F.count("*") == F.count("chunk")
     return joined.groupBy(key).agg(F.when(whole, put).alias("text"), F.count("*").alias("n_chunks"))

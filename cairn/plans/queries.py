@@ -16,8 +16,11 @@ from ..operators import diagnostics as G
 from ..operators import replication as R
 from ..operators import routing as T
 from ..operators import spans as P
+from ..sources import tables as X
+from ..streaming import feeds as Y
 from . import domain as D
 from .domain import h, key, table, with_
+from ..scratch import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -777,3 +780,32 @@ def log_batches(spark, sf):
 def conversation_text(spark, sf):
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("turns"))
+
+
+# Sources and streams
+
+
+@query("SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 = 0".replace("text, lang", "lang, 'say \"hi\", ' || source AS note"))
+def csv_roundtrip(spark, sf):
+    path = new_folder(spark)
+    note = F.concat(F.lit('say "hi", '), "source")
+    X.write_csv(table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", note.alias("note")), path)
+    return X.read_csv(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "note")
+
+
+@query(with_("activity") + "SELECT event_id, ts, action, hash FROM activity WHERE (action & 64) = 64")
+def stream_activity(spark, sf):
+    path = new_folder(spark)
+    log = D.activity(spark, sf).select("event_id", "ts", "action", "hash")
+    log.write.parquet(f"{path}/in")
+    return Y.collected(Y.activities(Y.feed(spark, f"{path}/in", log.schema), A.DELETE), f"{path}/out", f"{path}/state")
+
+
+@query(with_("servers") + ", " + _ROWS + " SELECT host, flags, update_ts FROM rows QUALIFY row_number() OVER (PARTITION BY host ORDER BY update_ts DESC, seq DESC) = 1")
+def stream_status(spark, sf):
+    path = new_folder(spark)
+    rows = _status_rows(spark, sf)
+    rows.repartition(3).write.parquet(f"{path}/in")
+    run = Y.last_status(Y.feed(spark, f"{path}/in", rows.schema, max_files=1), f"{path}/out", f"{path}/state")
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out/{run.lastProgress['batchId']}").select("host", "flags", "update_ts")
