@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = written(_moved(labels, "component", to), "labels")
         left = _moved(_moved(left, "a", to), "b", to).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         left = written(left.where("a < b").distinct(), "links")
-    return labels
+    return labels.select("node", "component")
 
 
 def _moved(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
