@@ -81,3 +81,11 @@ def test_cover():
 def test_version_chain(spark):
     v = spark.createDataFrame([(1, 2), (2, 3), (3, None), (9, None)], "id long, next long")
     assert sorted(map(tuple, C.version_chain(v).collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (9, 9, 0)]
+
+
+def test_interval_join_with_and_without_broadcast(spark, monkeypatch):
+    chunks = spark.range(256).selectExpr("id AS hash", "CAST(id AS INT) AS place")
+    s = spark.createDataFrame([("a", 0, 9), ("b", 5, 255)], "host string, first int, last int")
+    small = sorted(map(tuple, T.in_spans(chunks, s).select("hash", "host").collect()))
+    monkeypatch.setattr(T, "MAX_SPANS", 1)
+    assert sorted(map(tuple, T.in_spans(chunks, s).select("hash", "host").collect())) == small and len(small) == 261
