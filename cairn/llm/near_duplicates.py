@@ -11,11 +11,11 @@ agree in a register with probability equal to their weighted Jaccard similarity,
 m log m points per document, because points later than a document's likely last register are not drawn
 (and drawn later for the few documents where that was too early).
 
-Steps: texts are signed once (a written table of digests, bands and a 128-bit sketch); exact copies fold into one
-representative by digest; documents that share a band are verified against the band's first document, so a
-large group needs one pair per member; bands whose members are still in different components after that are
-compared across components only, and sketches far apart are left out (a near duplicate would be 6.8 deviations off).
-Verification recounts shingles from whole texts.
+Steps: texts are signed once (a written table of digests and bands); exact copies fold into one representative by
+digest; documents that share bands, directly or through others, are a family. A family is dealt into blocks of at most
+BLOCK documents, and every two of its blocks meet once, with their whole texts; there the overlaps of all multisets are
+counted exactly, and of the pairs that are near duplicates only a spanning forest leaves the task. So no pairs are
+shuffled, no link is lost in a family, and a large family is spread over many tasks.
 
 Edge cases: texts without words have no shingles and are nobody's near duplicate (each is a class of its own,
 also when they are equal); texts of one to four words are one shingle; repeated rows of a doc_id are one document;
@@ -39,9 +39,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
+BLOCK = 512  # documents of a family that are compared with each other, or with another block, in one task
+COMMON = 16  # shingles of so many documents are counted by matrix products
 SLICE_CHARS = 2 << 20  # text that is signed at once
-#: Sketch bits that may differ. At similarity 0.8 a bit differs with probability 0.1: 12.8 expected of 128, deviation 3.4.
-SKETCH_BITS = 36
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,14 +125,11 @@ def _signed(size: int, registers: int, band_rows: int):
             keys = h[:, ::band_rows].copy()
             for j in range(1, band_rows):
                 keys = mix64(keys * _STEP + h[:, j::band_rows])
-            bits = np.packbits((h[:, :128] >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
                     "digest": [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in text],
                     "size": [int(c.sum()) for _, c in bags],
-                    "s0": bits[:, 0],
-                    "s1": bits[:, 1],
                     "bands": [k.view(np.int64) if len(b[0]) else [] for k, b in zip(keys, bags, strict=True)],
                 }
             )
@@ -140,78 +137,87 @@ def _signed(size: int, registers: int, band_rows: int):
     return make
 
 
-def _verified(size: int, similarity: float):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
-                own = dict(zip(part["a"].tolist(), part["text_a"], strict=True)) | dict(zip(part["b"].tolist(), part["text_b"], strict=True))
-                bags = dict(zip(own, shingles(list(own.values()), size), strict=True))
-                keep = []
-                for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
-                    (x, cx), (y, cy) = bags[a], bags[b]
-                    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                    both = int(np.minimum(cx[i], cy[j]).sum())
-                    keep.append(both >= similarity * (int(cx.sum()) + int(cy.sum()) - both) - 1e-9)
-                yield part.loc[keep, ["a", "b"]]
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of smaller counts for all pairs of bags."""
+    n = len(bags)
+    # The k-th occurrence of a shingle is an element of its own, so multisets become sets.
+    sizes = [int(c.sum()) for _, c in bags]
+    counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in bags)])
+    elem = np.repeat(np.concatenate([np.zeros(0, np.uint64), *(e for e, _ in bags)]), counts)
+    elem = mix64(elem + runs(counts).astype(np.uint64) * _STEP)
+    doc = np.repeat(np.arange(n), sizes)
+    order = np.argsort(elem, kind="stable")
+    elem, doc = elem[order], doc[order]
+    first = np.flatnonzero(np.r_[True, elem[1:] != elem[:-1]]) if len(elem) else np.zeros(0, np.int64)
+    often = np.diff(np.r_[first, len(elem)])
+    out = np.zeros((n, n), np.float32)
+    for k in np.unique(often[(often > 1) & (often < COMMON)]).tolist():
+        rows = doc[first[often == k][:, None] + np.arange(k)]
+        for i in range(k):
+            for j in range(i + 1, k):
+                np.add.at(out, (rows[:, i], rows[:, j]), 1)
+    out += out.T
+    many = np.flatnonzero(often >= COMMON)
+    for part in np.array_split(many, len(many) // 4096 + 1):
+        has = np.zeros((n, len(part)), np.float32)
+        column = np.repeat(np.arange(len(part)), often[part])
+        has[doc[np.repeat(first[part], often[part]) + runs(often[part])], column] = 1
+        out += has @ has.T
+    np.fill_diagonal(out, sizes)
+    return out
+
+
+def _linked(size: int, similarity: float):
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        both = overlaps(shingles(pdf["text"].tolist(), size))
+        own = np.diag(both)
+        near = np.triu(both >= similarity * (own[:, None] + own[None, :] - both) - 1e-4, 1)
+        root = np.arange(len(pdf))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        forest = []
+        for i, j in np.argwhere(near).tolist():
+            x, y = find(i), find(j)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                forest.append((i, j))
+        ids = pdf["doc_id"].to_numpy()
+        return pd.DataFrame({"a": [ids[i] for i, _ in forest], "b": [ids[j] for _, j in forest]}, dtype="int64")
 
     return make
 
 
 def near_duplicate_links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, band_rows: int = BAND_ROWS):
-    """(signed table, links): links of verified near duplicates between representatives that connect all classes."""
+    """(signed table, links): near duplicates among representatives that connect all classes."""
     text = texts(docs)
-    signed = written(
-        text.mapInPandas(_signed(size, registers, band_rows), "doc_id long, digest binary, size long, s0 long, s1 long, bands array<long>"),
-        "signed",
-    )
+    signed = written(text.mapInPandas(_signed(size, registers, band_rows), "doc_id long, digest binary, size long, bands array<long>"), "signed")
     reps = signed.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = signed.drop("digest").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    met = rows.select("doc_id", "size", "s0", "s1", F.explode("bands").alias("band"))
+    rows = signed.select("doc_id", "bands").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    met = rows.select("doc_id", F.explode("bands").alias("band"))
     first = met.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = written(met.join(first.drop("n"), "band"), "met")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs (a < b) that are near duplicates, read from whole texts."""
-        pairs = written(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return pairs
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        own = text.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        own = written(own, "texts")
-        left = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return written(both.mapInPandas(_verified(size, similarity), "a long, b long"), "links")
-
-    links = verify(met.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    # What the first documents did not connect: pairs across components within a band.
-    label = components(links).withColumnRenamed("node", "doc_id")
-    rest = met.drop("first").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = written(rest.join(open_, "band", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = (
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
-        & (F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) <= SKETCH_BITS)
-    )
-    pairs = x.join(y, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    tried = met.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    more = verify(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-    return signed, links.unionByName(more)
+    shared = met.join(first.drop("n"), "band").where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    family = components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    there = text.join(dealt, "doc_id").dropDuplicates(["doc_id"])
+    meets = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    links = meets.select("family", "x", "y", "doc_id", "text").groupBy("family", "x", "y").applyInPandas(_linked(size, similarity), "a long, b long")
+    return signed, written(links, "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id) and n_links (verified links of its text that were needed)."""
+    """doc_id and class_id (the class's smallest doc_id) of each row."""
     signed, links = near_duplicate_links(docs, size, similarity, registers, band_rows)
-    label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     ids = signed.select("doc_id", "digest", "size")
     reps = ids.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("digest", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return ids.join(named, "digest", "left").select(
-        "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id"))).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    named = reps.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("digest", F.coalesce("component", "rep").alias("class"))
+    class_ = F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id"))
+    return ids.join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), class_).alias("class_id"))
