@@ -205,7 +205,8 @@ def near_duplicate_links(docs: DataFrame, size: int = SHINGLE, similarity: float
     family = components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    there = text.join(dealt, "doc_id").dropDuplicates(["doc_id"])
+    # Families grow with the corpus, so they are never broadcast, also where they happen to be small: one plan at every size.
+    there = text.join(dealt.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     meets = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     links = meets.select("family", "x", "y", "doc_id", "text").groupBy("family", "x", "y").applyInPandas(_linked(size, similarity), "a long, b long")
