@@ -65,7 +65,7 @@ def packed(x: np.ndarray) -> bytes:
 
     x = np.ascontiguousarray(x)
     planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b""
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
