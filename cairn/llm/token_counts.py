@@ -4,8 +4,9 @@
    frequencies of their pre-tokens (a sparse matrix over batch-local numbers) and its distinct pre-tokens.
    Pre-tokens that are entries of the vocabulary have a known count and need no join; the vocabulary is a
    file of fixed size that each worker reads.
-2. The other pre-tokens of all batches are made distinct by Spark, and each is encoded once.
-3. The counts are joined back to the batches by pre-token and summed per document. No ids are kept.
+2. The other pre-tokens of all batches are dealt out and sorted by pre-token; each distinct one is encoded once,
+   and its count goes to every batch that has it.
+3. The counts are joined to the batches' frequencies and summed per document. No ids are kept.
 
 A frequent pre-token comes once per batch at most, so no key is hot.
 
@@ -102,7 +103,7 @@ def _frequencies(path: str):
             yield pd.DataFrame(
                 {
                     "batch": [(part << 32) + seq],
-                    "doc_ids": [pdf["doc_id"].to_numpy(np.int64).tobytes()],
+                    "doc_ids": [pdf["doc_id"].isna().to_numpy().tobytes() + pdf["doc_id"].fillna(0).to_numpy(np.int64).tobytes()],
                     "n_bytes": [np.array(n_bytes, np.int64).tobytes()],
                     "base": [np.array(base, np.int64).tobytes()],
                     "sizes": [np.array(sizes, np.int64).tobytes()],
@@ -121,9 +122,14 @@ def _encode(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = _library(path)[0]
-        for pdf in batches:
-            found = tokenizer.encode_batch(pdf["piece"].tolist(), add_special_tokens=False)
-            yield pd.DataFrame({"piece": pdf["piece"], "n": [len(x.ids) for x in found]})
+        last, n = None, 0
+        for pdf in batches:  # sorted by piece: each piece is encoded where its run begins
+            which, pieces = pd.factorize(pdf["piece"])
+            fresh = [p for p in pieces if p != last]
+            known = {last: n} | {p: len(x.ids) for p, x in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True)}
+            counts = np.array([known[p] for p in pieces], np.int32)
+            last, n = pieces[-1], int(counts[-1])
+            yield pd.DataFrame({"batch": pdf["batch"], "at": pdf["at"], "n": counts[which]})
 
     return make
 
@@ -131,7 +137,9 @@ def _encode(path: str):
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples():
-            doc_ids, n_bytes, base, sizes = (np.frombuffer(x, np.int64) for x in (row.doc_ids, row.n_bytes, row.base, row.sizes))
+            n_bytes, base, sizes = (np.frombuffer(x, np.int64) for x in (row.n_bytes, row.base, row.sizes))
+            doc_ids = pd.array(np.frombuffer(row.doc_ids[len(sizes) :], np.int64), "Int64")
+            doc_ids[np.frombuffer(row.doc_ids[: len(sizes)], bool)] = pd.NA
             steps, counts = unpacked(row.ids, np.uint32), unpacked(row.counts, np.uint32)
             ends = np.cumsum(steps, dtype=np.int64)
             before = np.r_[0, ends][np.cumsum(sizes) - sizes]
@@ -154,8 +162,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
         "frequencies",
     )
     met = table.select("batch", F.posexplode("pieces").alias("at", "piece"))
-    pieces = met.select("piece").distinct().mapInPandas(_encode(tokenizer), "piece string, n int")
-    back = met.join(pieces, "piece").groupBy("batch").agg(F.collect_list(F.struct("at", "n")).alias("x")).select("batch", "x.at", "x.n")
+    # All rows of a piece, one per batch at most, meet sorted in one partition: counted once, joined by run.
+    counted = met.repartition("piece").sortWithinPartitions("piece").mapInPandas(_encode(tokenizer), "batch long, at int, n int")
+    back = counted.groupBy("batch").agg(F.collect_list(F.struct("at", "n")).alias("x")).select("batch", "x.at", "x.n")
     return (
         table.drop("pieces").join(back, "batch", "left")
         .mapInPandas(_sums, "doc_id long, n_bytes long, n_tokens long")
