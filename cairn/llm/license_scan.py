@@ -2,11 +2,12 @@
 
 A text's canonical form drops copyright lines, lower-cases, spells variants alike, and keeps letters and digits
 with single spaces between. Its SHA-256 is hash-joined to the digests of known texts. Two kinds of entire texts are looked up:
-the document itself, and each of its lines that names a licence (every known notice does). DataFrame functions only.
+the document itself, and each of its lines. A known text of BODY_WORDS words or more, which seldom stands on one line, is also
+found inside a longer document, word for word and however it is wrapped. DataFrame functions only.
 
 Known texts are few (a table of fixed size), so their side is broadcast; a table above spark.sql.autoBroadcastJoinThreshold
-is joined by shuffled digests instead, which is spread evenly but for a much-used notice; digests are made distinct
-per document before the join.
+is joined by shuffled digests instead, which is spread evenly but for a much-used line; digests are made distinct
+per document before the join. Known bodies go to every task, and each document is searched for each of them.
 
 Edge cases: null and empty texts match nothing; a document has each licence once, sorted; repeated rows are scanned each;
 with no known texts nothing matches; further columns are not read.
@@ -14,10 +15,74 @@ with no known texts nothing matches; further columns are not read.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Short notices of public licences, and one whole text.
+BODY_WORDS = 60
+
+_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "{} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY "
+    "OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_THIRD = (
+    "{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE."
+)
+# Two ways to wrap it: a line that begins with "copyright" is dropped.
+_ISC = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above"
+    + cut
+    + 'copyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+    "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    for cut in " \n"
+]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives"} | {
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def _titled(license_id: str, titles: list[str], body: str) -> list[tuple[str, str]]:
+    """A body, alone and under each title: as a whole text it has either form."""
+    return [(license_id, f"{t}\n{body}") for t in ["", *titles]]
+
+
+def _bsd() -> list[tuple[str, str]]:
+    out = []
+    for holder in ("HOLDER", "OWNER", "HOLDERS"):
+        for a, b, c in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")):
+            for rights in ("", "All rights reserved.\n"):
+                two, warranty = rights + _TWO.format(a, b), _WARRANTY.format(holder)
+                out += _titled("BSD-2-Clause", ["BSD 2-Clause License"], two + warranty)
+                out += _titled("BSD-3-Clause", ["BSD 3-Clause License"], two + _THIRD.format(c) + warranty)
+    return out
+
+
+# Short notices of public licences, and whole texts.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -36,6 +101,13 @@ KNOWN = [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    *((f"CC-{k}-4.0", f"{start} CC {k} 4.0.") for k in _CC for start in ("Licensed under", "This work is licensed under")),
+    *((f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in _CC.items() if k not in ("BY", "BY-SA")),
+    *_titled("MIT", ["MIT License", "The MIT License", "The MIT License (MIT)"], _MIT),
+    *_bsd(),
+    *(x for body in _ISC for x in _titled("ISC", ["ISC License"], body)),
+    *((k, pkgutil.get_data(__package__, f"known_texts/{k}.txt").decode()) for k in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")),
 ]
 # Spellings that mean the same.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("organisation", "organization")]
@@ -51,10 +123,9 @@ def canonical(text: Column) -> Column:
     return F.trim(x)
 
 
-def digests(known: DataFrame) -> DataFrame:
-    """license_id and digest of each distinct known text with a word."""
-    text = known.select("license_id", canonical(F.coalesce("text", F.lit(""))).alias("c"))
-    return text.where("c != ''").select("license_id", F.sha2("c", 256).alias("digest")).distinct()
+def canonical_texts(known: DataFrame) -> DataFrame:
+    """license_id and c, the canonical form, of each distinct known text with a word."""
+    return known.select("license_id", canonical(F.coalesce("text", F.lit(""))).alias("c")).where("c != ''").distinct()
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -66,17 +137,20 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     whole_text: the document as a whole is a known text.
     """
-    known = digests(known_licenses(docs.sparkSession) if known is None else known)
+    known = canonical_texts(known_licenses(docs.sparkSession) if known is None else known)
+    bodies = known.where(F.size(F.split("c", " ")) >= BODY_WORDS).agg(F.collect_set("c").alias("bodies"))
     row = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # Lines that can be a notice; the whole text is one more unit, marked.
-    lines = F.expr(r"filter(split(text, '\n', -1), x -> x rlike '(?i)licen[cs]e')")
+    row = row.withColumn("c", canonical(F.col("text"))).crossJoin(F.broadcast(bodies))
+    unit_of = lambda c, whole: F.struct(c.alias("c"), F.lit(whole).alias("whole"))
+    inside = F.filter("bodies", lambda b: F.contains(F.concat(F.lit(" "), F.col("c"), F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" "))))
+    # Each line, each body inside, and the whole text, marked.
     units = F.array_union(
-        F.transform(lines, lambda x: F.struct(canonical(x).alias("c"), F.lit(False).alias("whole"))),
-        F.array(F.struct(F.when(F.col("text").rlike(r"(?i)licen[cs]e|permission"), canonical(F.col("text"))).otherwise("").alias("c"), F.lit(True).alias("whole"))),
+        F.transform(F.split("text", "\n", -1), lambda x: unit_of(canonical(x), False)),
+        F.concat(F.transform(inside, lambda x: unit_of(x, False)), F.array(unit_of(F.col("c"), True))),
     )
     row = row.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.filter(units, lambda u: u["c"] != "").alias("units"))
     unit = row.where(F.size("units") > 0).select("row", F.explode("units").alias("u")).select("row", F.sha2("u.c", 256).alias("digest"), "u.whole")
-    found = unit.join(known, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license_id")).alias("ids"), F.max("whole").alias("whole"))
+    found = unit.join(known.select("license_id", F.sha2("c", 256).alias("digest")), "digest").groupBy("row").agg(F.array_sort(F.collect_set("license_id")).alias("ids"), F.max("whole").alias("whole"))
     return row.select("row", "doc_id").join(found, "row", "left").select(
         "doc_id",
         F.coalesce(F.array_join("ids", ","), F.lit("")).alias("licenses"),

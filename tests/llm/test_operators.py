@@ -311,6 +311,19 @@ def test_license_scan(spark, odd, none):
     assert license_scan.license_scan(odd, license_scan.known_licenses(spark).limit(0)).count() == odd.count()
 
 
+def test_license_scan_finds_every_known_text(spark):
+    isc = dict((k, t) for k, t in license_scan.KNOWN if t.startswith("Permission to use"))["ISC"]
+    mit = next(t for k, t in license_scan.KNOWN if k == "MIT" and len(t) > 500)
+    wrapped = "The MIT License (MIT)\n\nCopyright (c) 2020 Me\n\n" + mit.strip().replace(" of ", "\nof ")
+    apache = next(t for k, t in license_scan.KNOWN if k == "Apache-2.0" and len(t) > 5000)
+    texts = ["A tool.\nLicensed under CC BY-NC 4.0.\nend", f"A tool.\n{isc}\nend", wrapped, f"A tool.\n\n{wrapped}\n\nend", apache, "# Tool\n" + apache, "x " + mit[:-60]]
+    got = {r.doc_id: (r.licenses, r.whole_text) for r in license_scan.license_scan(spark.createDataFrame(rows(*texts), COLUMNS)).collect()}
+    assert got == {0: ("CC-BY-NC-4.0", False), 1: ("ISC", False), 2: ("MIT", True), 3: ("MIT", False), 4: ("Apache-2.0", True), 5: ("Apache-2.0", False), 6: ("", False)}
+    known = spark.createDataFrame([("Beer", "Do as you like."), ("Beer", None)], "license_id string, text string")
+    out = license_scan.license_scan(spark.createDataFrame(rows("do as you LIKE", "so\nDo as you like!\n", "Do as you like or not"), COLUMNS), known)
+    assert {r.doc_id: (r.licenses, r.whole_text) for r in out.collect()} == {0: ("Beer", True), 1: ("Beer", False), 2: ("", False)}
+
+
 # 8 URL filters
 
 
