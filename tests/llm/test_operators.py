@@ -373,6 +373,22 @@ def test_mixing_deviates_less_than_a_block(spark, odd, none):
     assert mixing.mixing(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 1.001, "b": 1, "c": 0.999}])
+def test_mixing_keeps_true_weights(spark, weights):
+    """Weights that do not divide the period, over many periods."""
+    df = spark.createDataFrame([(i, "x" * 50, "abc"[i % 3]) for i in range(6000)], "doc_id long, text string, source string")
+    out = mixing.mixing(df, weights, block_chars=100, period=64, slice_rows=300).collect()
+    assert len(out) == 6000
+    slots, own = {}, collections.Counter()
+    for r in out:
+        assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+    end = max(r.slot for r in out if r.on_target)
+    assert end > 2900
+    for slot in range(end + 1):
+        own[slots[slot][0]] += 1
+        assert all(abs(own[s] - w / 3 * (slot + 1)) < 1 for s, w in weights.items())
+
+
 # 10 language model
 
 
