@@ -11,7 +11,8 @@ The texts of a batch are laid end to end and cut into lanes; all lanes advance a
 Patterns of fewer words than 2 are looked up word by word.
 
 The benchmark is measured first. Up to BLOCK_BYTES of text its tables go to every worker; beyond, items are
-dealt into blocks of that size, one search each, and the hits are merged per document.
+dealt into blocks of that size, one search each, and the hits are merged per row: rows get a key of their own in
+a written table first, as doc_ids may be missing or repeated.
 
 Edge cases: null texts and items have no words and no hits; items without words are no windows; windows that
 several items share count for each; repeated rows are judged each; empty tables give empty results (an empty
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -142,7 +143,7 @@ def _searcher(patterns):
                 items[doc[s]].update(p.owners[w])
             for s in np.flatnonzero(hit).tolist():
                 spans[doc[s]].append(s - int(first[doc[s]]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": sizes, "hits": spans, "items": [sorted(x) for x in items]})
+            yield pdf.drop(columns="text").assign(**{"n_words": sizes, "hits": spans, "items": [sorted(x) for x in items]})
 
     return make
 
@@ -154,19 +155,23 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).collect()[0][0]
     blocks = max(1, -(-size // block_bytes))
     schema = "doc_id long, n_words long, hits array<int>, items array<string>"
-    found = None
     rows = texts(docs)
+    if blocks > 1:
+        rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+        schema = f"row long, {schema}"
+    found = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in own.collect()], window))
         one = rows.mapInPandas(_searcher(patterns), schema)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
-        found = found.groupBy("doc_id").agg(
+        found = found.groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"),
             F.max("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+        ).drop("row")
     return found
 
 

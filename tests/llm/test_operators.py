@@ -299,6 +299,16 @@ def test_decontamination(spark, odd, none, block_bytes):
     assert decontamination.decontamination(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_blocks_keep_rows(spark, odd):
+    """Missing and repeated doc_ids: the same rows whatever the size of the benchmark."""
+    items = [(1, P.format(1, 2, 3)), (3, "one two THREE"), (10, "é" * 300), (6, "w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), (7, "without id")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = spark.createDataFrame([(None, "clean"), (None, "one two three"), (4, "clean"), (4, P.format(1, 2, 3))], "doc_id long, text string")
+    df = odd.select("doc_id", "text").unionByName(more)
+    plain = [sorted(map(repr, decontamination.benchmark_hits(df, bench, block_bytes=b).collect())) for b in (1 << 20, 100)]
+    assert len(plain[0]) == df.count() and plain[0] == plain[1]
+
+
 # 7 licence scan
 
 
