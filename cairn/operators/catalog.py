@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,37 +65,43 @@ def select_uploader(rows: DataFrame, user: str, ts: int, path: str | None = None
     return n.withColumn("state", F.when(F.col("n") == 1, "one").when(F.col("n") == 0, "none").otherwise("ambiguous"))
 
 
-def version_chain(versions: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """root, id and depth: from each first version (nobody's next) along next, by rounds of joins over the frontier."""
+def version_chain(versions: DataFrame) -> DataFrame:
+    """root, id and depth: from each first version (nobody's next) along next, of any length."""
     first = versions.join(versions.select(F.col("next").alias("id")).where("id IS NOT NULL"), "id", "left_anti")
     edges = versions.where("next IS NOT NULL").select("id", "next")
-    return _walk(first.select(F.col("id").alias("root"), "id"), edges, max_depth)
-
-
-def _walk(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    spark = start.sparkSession
-    start.createOrReplaceTempView("_start")
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(root, id, depth) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT root, id, 0 FROM _start
-          UNION ALL SELECT w.root, e.next, w.depth + 1 FROM walk w JOIN _edges e ON w.id = e.id)
-        SELECT root, id, depth FROM walk""")
-
-
-def request_depth(links: DataFrame, source: str, max_depth: int = 12) -> DataFrame:
-    """node and depth: fewest hops from source over links (src, dst), level by level. Servers are few."""
+    return _walk(first.select(F.col("id").alias("root"), "id"), edges)
+
+
+def _walk(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """All walks from start, by doubling: each round jumps twice as far from all that was reached, so rounds grow with the logarithm."""
+    jump, hops = written(edges), 1
+    most = jump.count()
+    walk = written(start.withColumn("depth", F.lit(0)))
+    while True:
+        step = written(walk.join(jump, "id").select("root", F.col("next").alias("id"), (F.col("depth") + hops).alias("depth")))
+        if step.isEmpty():
+            return walk
+        if hops > most:
+            raise ValueError("versions go round in a circle")
+        walk = walk.unionByName(step)
+        then = jump.select(F.col("id").alias("next"), F.col("next").alias("then"))
+        jump, hops = written(jump.join(then, "next").select("id", F.col("then").alias("next"))), hops * 2
+
+
+def request_depth(links: DataFrame, source: str) -> DataFrame:
+    """node and depth: fewest hops from source over links (src, dst), level by level until none is new. Servers are few."""
     spark = links.sparkSession
     seen = spark.createDataFrame([(source, 0)], "node string, depth int")
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
         front = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
         front = written(front)
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if depth % 16 == 0:  # the union stays short
+            seen = written(seen)
 
 
 def fastest(depths: DataFrame) -> DataFrame:

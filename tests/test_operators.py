@@ -83,6 +83,19 @@ def test_version_chain(spark):
     assert sorted(map(tuple, C.version_chain(v).collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (9, 9, 0)]
 
 
+def test_version_chain_of_any_length(spark):
+    v = spark.range(1500).selectExpr("id", "CASE WHEN id < 1499 THEN id + 1 END AS next")
+    assert sorted(map(tuple, C.version_chain(v).collect())) == [(0, k, k) for k in range(1500)]
+    with pytest.raises(ValueError):
+        C.version_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "id long, next long"))
+
+
+def test_request_depth_goes_to_the_end(spark):
+    links = spark.createDataFrame([(str(k), str(k + 1)) for k in range(18)] + [("18", "0")], "src string, dst string")
+    assert sorted(map(tuple, C.request_depth(links, "0").collect())) == sorted((str(k), k) for k in range(19))
+
+
+
 def test_interval_join_with_and_without_broadcast(spark, monkeypatch):
     chunks = spark.range(256).selectExpr("id AS hash", "CAST(id AS INT) AS place")
     s = spark.createDataFrame([("a", 0, 9), ("b", 5, 255)], "host string, first int, last int")
