@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,14 +64,30 @@ def eta_contextual(progress: DataFrame, by: str, total: Column, seconds: int = 6
 def batches(rows: DataFrame, by: str, order: list[str], size: str, most_bytes: int, most_rows: int) -> DataFrame:
     """Greedy batches in order: a batch is flushed once it holds most_bytes or most_rows.
 
-    A fold over one group's sizes: per host and hour the list is small.
+    A group's rows pass one task in order; only the open batch is held, and one row leaves for each finished one.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size"))))
-    step = lambda a, x: F.when(
-        (a["bytes"] >= most_bytes) | (a["rows"] >= most_rows),
-        F.struct((a["batch"] + 1).alias("batch"), x["_size"].alias("bytes"), F.lit(1).cast("long").alias("rows"), F.array_append(a["out"], a["batch"] + 1).alias("out")),
-    ).otherwise(F.struct(a["batch"].alias("batch"), (a["bytes"] + x["_size"]).alias("bytes"), (a["rows"] + 1).alias("rows"), F.array_append(a["out"], a["batch"]).alias("out")))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("rows"), F.lit([]).cast("array<int>").alias("out"))
-    folded = rows.groupBy(by).agg(items.alias("items")).withColumn("batch", F.aggregate("items", zero, step, lambda a: a["out"]))
-    flat = folded.select(by, F.explode(F.arrays_zip("items", "batch")).alias("z")).select(by, "z.items.*", "z.batch")
-    return flat.groupBy(by, "batch").agg(F.count("*").alias("n"), F.sum("_size").alias("bytes"))
+    own = rows.select(by, *order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.col(size).isNull().alias("_null"))
+    dealt = own.repartition(by).sortWithinPartitions(by, *order).select(by, "_size", "_null")
+    kind = own.schema[by].dataType.simpleString()
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A missing size makes the open batch's bytes unknown, so that only its rows can end it; known sizes are summed.
+        host, batch, n, total, known, unknown, started = None, 0, 0, 0, 0, False, False
+        columns = [by, "batch", "n", "bytes"]
+        for pdf in parts:
+            out = []
+            hosts = pdf[by].astype(object).where(pdf[by].notna(), None)
+            for h, x, null in zip(hosts, pdf["_size"].tolist(), pdf["_null"].tolist(), strict=True):
+                if not started or h != host:
+                    if started:
+                        out.append((host, batch, n, total if known else None))
+                    host, batch, n, total, known, unknown, started = h, 0, 0, 0, 0, False, True
+                elif n >= most_rows or (not unknown and total >= most_bytes):
+                    out.append((host, batch, n, total if known else None))
+                    batch, n, total, known, unknown = batch + 1, 0, 0, 0, False
+                n, total, known, unknown = n + 1, total + x, known + (not null), unknown or null
+            yield pd.DataFrame(out, columns=columns).astype({"bytes": "Int64"})
+        if started:
+            yield pd.DataFrame([(host, batch, n, total if known else None)], columns=columns).astype({"bytes": "Int64"})
+
+    return dealt.mapInPandas(fold, f"`{by}` {kind}, batch int, n long, bytes long")

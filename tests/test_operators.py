@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cairn.functions.hashing import content_hash
 from cairn.operators import catalog as C
 from cairn.operators import chunks as K
+from cairn.operators import diagnostics as G
 from cairn.operators import replication as R
 from cairn.operators import routing as T
 from cairn.operators import spans as P
@@ -95,6 +96,23 @@ def test_request_depth_goes_to_the_end(spark):
     assert sorted(map(tuple, C.request_depth(links, "0").collect())) == sorted((str(k), k) for k in range(19))
 
 
+def test_batches_hold_one_batch(spark):
+    """Several Arrow batches for one host, and no array of a host's rows in the plan."""
+    sizes = [(k * 7919) % 50 for k in range(30000)]
+    df = spark.createDataFrame([("a", k, x) for k, x in enumerate(sizes)] + [(None, 1, 5), ("b", 2, None), ("b", 1, 4)], "host string, seq long, size long")
+    out = G.batches(df.repartition(4), "host", ["seq"], "size", 300, 20)
+    want, n, total = [], 0, 0
+    for x in sizes:
+        if n and (total >= 300 or n >= 20):
+            want.append((n, total))
+            n = total = 0
+        n, total = n + 1, total + x
+    got = out.collect()
+    assert [(r.n, r.bytes) for r in sorted((r for r in got if r.host == "a"), key=lambda r: r.batch)] == [*want, (n, total)]
+    assert sorted((r.host or "", r.batch, r.n, r.bytes) for r in got if r.host != "a") == [("", 0, 1, 5), ("b", 0, 2, 4)]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 
 def test_interval_join_with_and_without_broadcast(spark, monkeypatch):
     chunks = spark.range(256).selectExpr("id AS hash", "CAST(id AS INT) AS place")
