@@ -42,6 +42,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def exact_ids(docs: DataFrame) -> DataFrame:
+    """docs with doc_id 0 and missing true where it is null: a batch with nulls would hold its ids as floats in pandas."""
+    return docs.withColumn("missing", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A well-mixed 64-bit hash of each unsigned 64-bit number (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

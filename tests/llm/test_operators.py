@@ -104,16 +104,44 @@ def brute_dedup(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_suffix_dedup(spark, docs, odd, small, monkeypatch):
-    if small:
-        monkeypatch.setattr(suffix_dedup, "SHARD_KEYS", 50)
-    df = docs.select("doc_id", "text") if not small else docs.select("doc_id", "text").unionByName(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select(F.col("doc_id") + 10000, "text").toDF("doc_id", "text"))
+@pytest.mark.parametrize("how", ["small", "large", "index", "hot"])
+def test_suffix_dedup(spark, docs, odd, how, monkeypatch):
+    """Equal to brute force with few and many shards, with every segment through the index, and with all picks hot."""
+    df = docs.select("doc_id", "text")
+    if how == "large":
+        df = df.unionByName(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select(F.col("doc_id") + 10000, "text").toDF("doc_id", "text"))
+    else:
+        monkeypatch.setattr(suffix_dedup, "SHARD_KEYS", 50 if how == "small" else 5000)
+    if how == "hot":
+        monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 1)
     want = brute_dedup(text_of(df))
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(df.repartition(3)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(df.repartition(3), fold=how != "index").collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("how", ["fold", "index", "hot"])
+def test_suffix_dedup_rows(spark, how, monkeypatch):
+    """Rows that share a doc_id, or have none, keep their own marks."""
+    if how == "hot":
+        monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 1)
+    rng = np.random.default_rng(4)
+    a, b, c, d = ("".join(map(chr, rng.integers(97, 123, 300))) for _ in range(4))
+    twice = c[:150] + "!" + c[10:150] + "?" + c[20:]
+    texts_ = [(7, a), (7, b), (7, twice), (7, twice), (5, b[:150] + "-" + d), (None, d), (None, a[50:250]), (None, d + c), (9, c), (2**53 + 1, "x" + d)]
+    df = spark.createDataFrame(texts_, "doc_id long, text string").coalesce(1)
+    out = suffix_dedup.suffix_dedup(df, fold=how != "index", with_text=True).collect()
+    want = []
+    order = lambda k: (texts_[k][0] is None, texts_[k][0] or k)
+    for k, (_, t) in enumerate(texts_):
+        gone = [False] * len(t)
+        for i in range(len(t) - 99):
+            w = t[i : i + 100]
+            if any(w in u for j, (_, u) in enumerate(texts_) if order(j) < order(k)) or t.index(w) < i:
+                gone[i : i + 100] = [True] * 100
+        want.append("".join(x for x, g in zip(t, gone, strict=True) if not g))
+    assert sorted((str(r.doc_id), r.kept_text) for r in out) == sorted((str(t[0]), w) for t, w in zip(texts_, want, strict=True))
+
+
 def test_suffix_dedup_edges(spark, odd, none):
     out = suffix_dedup.suffix_dedup(odd, with_text=True).collect()
     assert len(out) == odd.count() and suffix_dedup.suffix_dedup(none).count() == 0
@@ -124,20 +152,36 @@ def test_suffix_dedup_edges(spark, odd, none):
     assert (x.n_removed, x.n_spans) == (499, 1)
 
 
-def test_run_index(spark):
+def test_run_index():
+    """Matching statistics of other texts, and repeats of the index's own, against brute force."""
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        data = rng.integers(0, 2, 300).astype(np.uint8)
-        ends = np.array([120, 200, 300])
-        index = suffix_dedup.RunIndex(data, ends, 12)
-        seen, want = set(), np.zeros(300, bool)
-        for a, b in zip([0, 120, 200], ends, strict=True):
-            for k in range(a, b - 11):
-                w = data[k : k + 12].tobytes()
-                want[k] = w in seen
-                seen.add(w)
-        own = np.concatenate([np.arange(a, b - 11) for a, b in zip([0, 120, 200], ends, strict=True)])
-        assert (index.repeats()[own] == want[own]).all() and index.runs <= 300
+    for trial in range(20):
+        sizes = rng.integers(1, 60, 12)
+        data = rng.integers(0, 2 + trial % 3, sizes.sum()).astype(np.uint8)
+        rows_ = np.repeat(np.arange(6), 2) if trial % 2 else np.arange(12)
+        ids = np.sort(rng.integers(0, 6, rows_.max() + 1))[rows_]
+        index = suffix_dedup.RunIndex(data, sizes, 12)
+        ends, segment = np.cumsum(sizes), np.repeat(np.arange(12), sizes)
+        want, seen = np.zeros(len(data), bool), []
+        for i in range(len(data)):
+            if ends[segment[i]] - i >= 12:
+                w = data[i : i + 12].tobytes()
+                want[i] = any(v == w and (ids[segment[j]] < ids[segment[i]] or rows_[segment[j]] == rows_[segment[i]]) for j, v in seen)
+                seen.append((i, w))
+        assert (suffix_dedup.repeated(data, sizes, ids, rows_, 12) == want).all() and index.runs <= len(data) + 12
+        query = rng.integers(0, 4, 50).astype(np.uint8)
+        match, _ = index.statistics(query, np.array([20, 30]))
+        texts_ = [data[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
+        for i in range(50):
+            most = (20 if i < 20 else 50) - i
+            assert match[i] == max(k for k in range(most + 1) if any(query[i : i + k].tobytes() in t for t in texts_))
+
+
+def test_run_index_compresses_repeats():
+    """One text many times over: runs grow with the different strings, not with the bytes."""
+    text = np.random.default_rng(2).integers(0, 26, 400).astype(np.uint8)
+    few, many = (suffix_dedup.RunIndex(np.tile(text, k), np.full(k, 400)) for k in (2, 200))
+    assert many.runs < 30 * few.runs
 
 
 # 3 near duplicates
