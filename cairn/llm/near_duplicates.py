@@ -11,15 +11,22 @@ agree in a register with probability equal to their weighted Jaccard similarity,
 m log m points per document, because points later than a document's likely last register are not drawn
 (and drawn later for the few documents where that was too early).
 
-Steps: texts are signed once (a written table of digests and bands); exact copies fold into one representative by
-digest; documents that share bands, directly or through others, are a family. A family is dealt into blocks of at most
-BLOCK documents, and every two of its blocks meet once, with their whole texts; there the overlaps of all multisets are
-counted exactly, and of the pairs that are near duplicates only a spanning forest leaves the task. So no pairs are
-shuffled, no link is lost in a family, and a large family is spread over many tasks.
+Steps:
+
+1. Texts are signed once (a written table of rows with digests and bands); exact copies fold into one row by digest.
+2. Every two rows that share a band are candidates. Each row is compared exactly with a few leaders (the first rows of the bands it shares
+   most), so a group of copies is settled by about STARS comparisons a row. A leader of many is dealt out in parts.
+3. What then shares a band and is not yet in one class is compared in full: such rows, with those they may reach, are dealt
+   into blocks of at most BLOCK texts, and blocks meet in pairs. A class of more than BLOCK rows has blocks of its own, which do not
+   meet each other, so a large class costs as often as there are blocks of other rows beside it, not its square.
+
+Tasks return a spanning forest of the links they find; no pairs are shuffled. The chance to miss a link at similarity 0.8 is
+that of sharing no band, 5e-8.
 
 Edge cases: texts without words have no shingles and are nobody's near duplicate (each is a class of its own,
-also when they are equal); texts of one to four words are one shingle; repeated rows of a doc_id are one document;
-rows without doc_id get a null class; an empty table gives an empty result; further columns are not read.
+also when they are equal); texts of one to four words are one shingle; each row is judged by its own text, also where rows share a
+doc_id; a class that has no doc_id has a null class_id; an empty table gives an empty result; further columns are not
+read, but row names one that is handed on.
 """
 
 from __future__ import annotations
@@ -29,17 +36,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, runs, slices, texts, written
+from .common import LOWER, exact_ids, mix64, runs, slices, texts, written
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
-BLOCK = 512  # documents of a family that are compared with each other, or with another block, in one task
+STARS = 2  # leaders that each row is compared with first
+BLOCK = 512  # texts that are compared with each other, or with another block's, at once
+BLOCK_SHINGLES = 1 << 20  # and their shingles, unless one text alone has more
+GROUP_SHINGLES = 1 << 21  # shingles of the blocks that go to a task together, about
 COMMON = 16  # shingles of so many documents are counted by matrix products
 SLICE_CHARS = 2 << 20  # text that is signed at once
 
@@ -117,6 +128,7 @@ def _signed(size: int, registers: int, band_rows: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import blake2b
 
+        first = TaskContext.get().partitionId() << 40
         for pdf in (x for batch in batches for x in slices(batch, SLICE_CHARS)):
             text = pdf["text"].tolist()
             bags = shingles(text, size)
@@ -127,12 +139,16 @@ def _signed(size: int, registers: int, band_rows: int):
                 keys = mix64(keys * _STEP + h[:, j::band_rows])
             yield pd.DataFrame(
                 {
+                    "row": pdf["row"] if "row" in pdf else np.arange(first, first + len(pdf)),
                     "doc_id": pdf["doc_id"],
+                    "missing": pdf["missing"],
                     "digest": [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in text],
                     "size": [int(c.sum()) for _, c in bags],
                     "bands": [k.view(np.int64) if len(b[0]) else [] for k, b in zip(keys, bags, strict=True)],
+                    "text": text,
                 }
             )
+            first += len(pdf)
 
     return make
 
@@ -167,58 +183,141 @@ def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def _linked(size: int, similarity: float):
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of near that connect what near connects."""
+    root = np.arange(len(near))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(near).tolist():
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def _units(pdf: pd.DataFrame, size: int) -> Iterator[tuple[tuple, np.ndarray, list]]:
+    """(unit, rows, bags) of each unit of a task's rows."""
+    for unit, own in pdf.groupby(["x", "y", "z"], sort=False):
+        own = own.sort_values("row")
+        yield unit, own["row"].to_numpy(np.int64), shingles(own["text"].tolist(), size)
+
+
+def _with_leader(size: int, similarity: float):
+    """Links of the rows of a star (x) to its leader, the row x."""
+
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        both = overlaps(shingles(pdf["text"].tolist(), size))
-        own = np.diag(both)
-        near = np.triu(both >= similarity * (own[:, None] + own[None, :] - both) - 1e-4, 1)
-        root = np.arange(len(pdf))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        forest = []
-        for i, j in np.argwhere(near).tolist():
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                forest.append((i, j))
-        ids = pdf["doc_id"].to_numpy()
-        return pd.DataFrame({"a": [ids[i] for i, _ in forest], "b": [ids[j] for _, j in forest]}, dtype="int64")
+        out = []
+        for (leader, _, _), rows, bags in _units(pdf, size):
+            e, c = bags[int(np.flatnonzero(rows == leader)[0])]
+            for row, (f, d) in zip(rows.tolist(), bags, strict=True):
+                at = np.minimum(np.searchsorted(e, f), len(e) - 1)
+                both = int(np.minimum(c[at], d)[e[at] == f].sum())
+                if row != leader and both >= similarity * (int(c.sum()) + int(d.sum()) - both) - 1e-4:
+                    out.append((int(leader), row))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return make
 
 
-def near_duplicate_links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, band_rows: int = BAND_ROWS):
-    """(signed table, links): near duplicates among representatives that connect all classes."""
-    text = texts(docs)
-    signed = written(text.mapInPandas(_signed(size, registers, band_rows), "doc_id long, digest binary, size long, bands array<long>"), "signed")
-    reps = signed.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = signed.select("doc_id", "bands").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    met = rows.select("doc_id", F.explode("bands").alias("band"))
-    first = met.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = met.join(first.drop("n"), "band").where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    family = components(shared).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    # Families grow with the corpus, so they are never broadcast, also where they happen to be small: one plan at every size.
-    there = text.join(dealt.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    meets = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-    links = meets.select("family", "x", "y", "doc_id", "text").groupBy("family", "x", "y").applyInPandas(_linked(size, similarity), "a long, b long")
-    return signed, written(links, "links")
-
-
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id and class_id (the class's smallest doc_id) of each row."""
-    signed, links = near_duplicate_links(docs, size, similarity, registers, band_rows)
-    ids = signed.select("doc_id", "digest", "size")
-    reps = ids.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("digest", F.coalesce("component", "rep").alias("class"))
-    class_ = F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id"))
-    return ids.join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), class_).alias("class_id"))
+def _with_all(size: int, similarity: float):
+    """Links among the rows of a pair of blocks that connect what they connect."""
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, rows, bags in _units(pdf, size):
+            both = overlaps(bags)
+            own = np.diag(both)
+            near = np.triu(both >= similarity * (own[:, None] + own[None, :] - both) - 1e-4, 1)
+            out += [(rows[i], rows[j]) for i, j in _forest(near)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return make
+
+
+def _parts(many: Column, shingles_: Column) -> Column:
+    return F.ceil(F.greatest(many / BLOCK, shingles_ / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+
+def _compared(units: DataFrame, text: DataFrame, how) -> DataFrame:
+    """Links that how finds in units (rows named by row, with their size, in the units x, y, z), as a written table."""
+    units = written(units, "units")
+    total = units.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    groups = total // GROUP_SHINGLES + 1
+    # Candidates grow with the corpus, so they are never broadcast, also where they happen to be small: one plan at every size.
+    there = text.join(units.drop("size").hint("merge"), "row").withColumn("task", F.pmod(F.xxhash64("x", "y", "z"), F.lit(groups)))
+    return written(there.groupBy("task").applyInPandas(how, "a long, b long"), "links")
+
+
+def near_duplicate_links(
+    docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, band_rows: int = BAND_ROWS, row: str | None = None
+):
+    """(signed table, links): near duplicates among different texts, named by row, that connect all classes."""
+    key = [F.col(row).cast("long").alias("row")] if row else []
+    schema = "row long, doc_id long, missing boolean, digest binary, size long, bands array<long>, text string"
+    signed = written(exact_ids(texts(docs, *key)).mapInPandas(_signed(size, registers, band_rows), schema), "signed")
+    reps = signed.where("size > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    met = signed.select("row", "size", "bands").join(reps, "row", "left_semi").select("row", "size", F.explode("bands").alias("band"))
+    first = met.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = written(met.join(first, "band"), "met")
+    text = written(signed.select("row", "text").join(met.select("row").distinct().hint("merge"), "row", "left_semi"), "candidates")
+
+    # Stars: each row with the leaders of most of its bands.
+    shared = met.where("first < row").groupBy("row", "first").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first"))), 1, STARS)  # at most one for each band
+    star = shared.groupBy("row").agg(F.first("size").alias("size"), ranked.alias("s"))
+    star = star.select("row", "size", F.explode("s.first").alias("x"))
+    parts = star.groupBy("x").agg(_parts(F.count("*"), F.sum("size")).alias("parts"))
+    member = star.join(parts, "x").select("row", "size", "x", F.pmod(F.xxhash64("row"), "parts").cast("long").alias("y"))
+    leader = parts.select(F.col("x").alias("row"), F.lit(0).cast("long").alias("size"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("y"))
+    near = _compared(member.unionByName(leader).withColumn("z", F.lit(0).cast("long")), text, _with_leader(size, similarity))
+
+    # The rest: bands whose rows are not all in one class yet.
+    class_ = components(near).select(F.col("node").alias("row"), "component")
+    known = met.join(class_, "row", "left").withColumn("class", F.coalesce("component", "row")).select("row", "size", "band", "first", "class")
+    open_ = known.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
+    open_ = written(known.join(open_, "band", "left_semi"), "open")
+    family = components(open_.where("first < row").select(F.col("first").alias("a"), F.col("row").alias("b"))).select(F.col("node").alias("row"), F.col("component").alias("z"))
+    own = written(open_.select("row", "size", "class").distinct().join(family, "row"), "families")
+    # A class with more than a block of rows in a family has blocks of its own; the others share blocks (class -1).
+    sums = own.groupBy("z", "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    large = sums.where(_parts(F.col("n"), F.col("s")) > 1).select("z", "class", F.lit(True).alias("large"))
+    own = own.join(large, ["z", "class"], "left").withColumn("side", F.when(F.col("large"), F.col("class")).otherwise(-1)).select("row", "size", "z", "side")
+    sides = own.groupBy("z", "side").agg(_parts(F.count("*"), F.sum("size")).alias("parts"))
+    # Blocks of a family, numbered side by side; there is one for every BLOCK rows or BLOCK_SHINGLES shingles, or less.
+    laid = sides.groupBy("z").agg(F.array_sort(F.collect_list(F.struct("side", "parts"))).alias("all"))
+    before = F.aggregate(F.filter("all", lambda s: s["side"] < F.col("side")), F.lit(0), lambda n, s: n + s["parts"])
+    total = F.aggregate("all", F.lit(0), lambda n, s: n + s["parts"])
+    dealt = own.join(sides, ["z", "side"]).join(laid, "z").select("row", "size", "z", "side", "parts", before.alias("before"), total.alias("total"))
+    dealt = dealt.withColumn("block", F.col("before") + F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    # Every block of another side, and for shared blocks each other and themselves. Where one side is all, nothing is open.
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda k: (F.col("side") < 0) | (k < F.col("before")) | (k >= F.col("before") + F.col("parts")))
+    meets = dealt.withColumn("other", F.explode(others))
+    meets = meets.select("row", "size", "z", F.least("block", "other").cast("long").alias("x"), F.greatest("block", "other").cast("long").alias("y"))
+    return signed, near.unionByName(_compared(meets, text, _with_all(size, similarity)))
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, band_rows: int = BAND_ROWS, row: str | None = None
+) -> DataFrame:
+    """doc_id and class_id (the class's smallest doc_id) of each row; with row: also row and first, true for one row of each class."""
+    signed, links = near_duplicate_links(docs, size, similarity, registers, band_rows, row)
+    ids = signed.select("row", F.expr("IF(missing, NULL, doc_id)").alias("doc_id"), "digest", "size")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    copies = ids.where("size > 0").groupBy("digest").agg(F.min("row").alias("node"), best.alias("best"))
+    copies = copies.join(components(links), "node", "left").withColumn("class", F.coalesce("component", "node"))
+    named = copies.join(copies.groupBy("class").agg(F.min("best").alias("leader")), "class").select("digest", "leader")
+    words = F.col("size") > 0
+    out = ids.join(named, "digest", "left").select(
+        "row",
+        "doc_id",
+        F.when(words, F.col("leader.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(words, F.col("leader.row") == F.col("row")).otherwise(True).alias("first"),
+    )
+    return out if row else out.select("doc_id", "class_id")

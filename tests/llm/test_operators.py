@@ -212,6 +212,35 @@ def test_near_duplicates(spark, docs, odd):
         assert got == brute_classes(text_of(df))
 
 
+def test_near_duplicate_rows(spark):
+    """Rows that share a doc_id or have none are judged by their own texts; one row of each class is first."""
+    one, other = (" ".join(f"{w}{i}" for i in range(200)) for w in ("a", "b"))
+    data = [(7, one), (7, other), (3, other + " end"), (None, one), (None, "alone " * 9), (8, "alone " * 9), (9, ""), (9, None), (2**53 + 1, "x y"), (2**53 + 2, "x y")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(data)], "k long, doc_id long, text string")
+    out = {r.row: (r.doc_id, r.class_id, r.first) for r in near_duplicates.near_duplicates(df, row="k").collect()}
+    want = [(7, 7, True), (7, 3, False), (3, 3, True), (None, 7, False), (None, 8, False), (8, 8, True), (9, 9, True), (9, 9, True), (2**53 + 1, 2**53 + 1, True), (2**53 + 2, 2**53 + 1, False)]
+    assert out == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("block", [512, 8, 3])
+def test_near_duplicate_chains(spark, block, monkeypatch):
+    """Chains of texts whose ends differ, some beside other classes: leaders do not reach all, blocks do."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    texts_ = {}
+    for c in range(4):
+        w = [f"c{c}w{i}" for i in range(150)]
+        for k in range(40):
+            texts_[int(rng.integers(0, 10**9))] = " ".join(w)
+            w[int(rng.integers(0, 150))] = f"n{c}k{k}"
+            if k % 9 == 8:  # a jump that ends the chain, but still shares bands
+                for j in rng.integers(0, 150, 5):
+                    w[int(j)] = f"j{c}k{k}j{j}"
+    df = spark.createDataFrame(list(texts_.items()), "doc_id long, text string")
+    want = brute_classes(texts_)
+    assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(df).collect()} == want and len(set(want.values())) > 4
+
+
 def test_near_duplicate_variants(spark, none, odd):
     """A large group of variants of one text, none of which is the base, is one class with a link per member or so."""
     base_ = [f"word{i}" for i in range(400)]
