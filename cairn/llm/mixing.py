@@ -14,8 +14,9 @@ the weights alone. Running totals per source are made in two levels (slices of a
 slices), so a source with a third of all rows is spread over all tasks.
 
 Edge cases: a null source is a source of its own; sources without a weight share the default weight;
-null and empty texts take no room and go with the block they fall in; repeated rows are kept;
-an empty table gives an empty result; further columns are not read.
+null and empty texts take no room and go with the block they fall in; repeated rows are kept; the order hangs on doc_id and
+text alone, so rows that share a doc_id, or have none, are spread as well, and where the rows lie changes nothing (rows alike in both
+are interchangeable); an empty table gives an empty result; further columns are not read, but with_columns hands them on.
 """
 
 from __future__ import annotations
@@ -119,24 +120,30 @@ def mixing(
     period: int = PERIOD,
     slice_rows: int = SLICE_ROWS,
     seed: int = 17,
+    with_columns: bool = False,
 ) -> DataFrame:
-    """doc_id, source, block (of the source), slot (of the block in the mix) and on_target of each row."""
+    """doc_id, source, block (of the source), slot (of the block in the mix) and on_target of each row; with_columns: also all, a struct of the row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
-    # Sources are few (the mix names them); their number is checked against the period below.
-    counts = rows.groupBy("source").agg(F.count("*").alias("count"), F.sum("size").alias("size")).limit(period + 1).collect()
+    rows = docs.select(
+        F.col("doc_id").cast("long"),
+        F.col("source").cast("string"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"),
+        *([F.struct("*").alias("all")] if with_columns else []),
+    )
+    # One row for each source comes to the driver, which lays out their turns; the mix has as many sources as it has weights.
+    counts = rows.groupBy("source").agg(F.count("*").alias("count"), F.sum("size").alias("size")).collect()
+    handed = ["a.all"] if with_columns else []
     if not counts:
-        return spark.createDataFrame([], "doc_id long, source string, block long, slot long, on_target boolean")
-    if len(counts) > period:
-        raise ValueError("no more sources than the period's slots")
+        none = rows.select("doc_id", "source", *[F.lit(0).cast("long").alias(c) for c in ("block", "slot")], F.lit(True).alias("on_target"), *(["all"] if with_columns else []))
+        return none.where("false")
     slices = max(1, -(-max(r["count"] for r in counts) // slice_rows))
     each = exact_weights({r["source"]: (weights or {}).get(r["source"], default_weight) for r in counts})
     total = sum(each.values())
     last = {r["source"]: max(0, r["size"] - 1) // block_chars for r in counts}
     if total <= period:
         laid = list(schedule(each, each))
-        plan = F.broadcast(spark.createDataFrame(laid, PLAN))
+        plan = F.broadcast(spark.createDataFrame(laid, PLAN))  # one period at most
         at = {(s, i): slot for s, i, slot in laid}
         end = min(b // each[s] * total + at[s, b % each[s]] for s, b in last.items())
         turns = each
@@ -149,11 +156,13 @@ def mixing(
 
     # Slices are ranges of the random order, so a source's order is slice by slice. 2**63 / slices wide each way.
     slice_of = F.floor((F.col("order") / 2.0**64 + 0.5) * slices).cast("long")
-    placed = _before(rows, slice_of, "size", ["order", "doc_id"])
+    placed = _before(rows, slice_of, "size", ["order", "doc_id", "size"])
     placed = placed.withColumn("block", F.floor(F.col("before") / block_chars).cast("long"))
-    left = placed.alias("a").join(F.broadcast(each_turn).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.each")
+    few = F.broadcast(each_turn) if len(each) <= period else each_turn
+    left = placed.alias("a").join(few.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.each")
     left = left.withColumn("i", F.pmod("block", "each")).alias("a")
     on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.i") == F.col("b.i"))
-    return left.join(plan.alias("b"), on).select(
-        "a.doc_id", "a.source", "a.block", (F.floor(F.col("a.block") / F.col("a.each")) * total + F.col("b.at")).cast("long").alias("slot")
+    out = left.join(plan.alias("b"), on).select(
+        "a.doc_id", "a.source", "a.block", *handed, (F.floor(F.col("a.block") / F.col("a.each")) * total + F.col("b.at")).cast("long").alias("slot")
     ).withColumn("on_target", F.col("slot") <= F.lit(end))
+    return out.select("doc_id", "source", "block", "slot", "on_target", *(["all"] if with_columns else []))
