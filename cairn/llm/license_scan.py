@@ -20,6 +20,8 @@ import pkgutil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import texts, written
+
 BODY_WORDS = 60
 
 _WARRANTY = (
@@ -139,8 +141,9 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = canonical_texts(known_licenses(docs.sparkSession) if known is None else known)
     bodies = known.where(F.size(F.split("c", " ")) >= BODY_WORDS).agg(F.collect_set("c").alias("bodies"))
-    row = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    row = row.withColumn("c", canonical(F.col("text"))).crossJoin(F.broadcast(bodies))
+    # Rows get their keys in a written table: computed twice, keys need not be the same where rows come by a shuffle.
+    keyed = written(texts(docs).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+    row = keyed.withColumn("c", canonical(F.col("text"))).crossJoin(F.broadcast(bodies))
     unit_of = lambda c, whole: F.struct(c.alias("c"), F.lit(whole).alias("whole"))
     inside = F.filter("bodies", lambda b: F.contains(F.concat(F.lit(" "), F.col("c"), F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" "))))
     # Each line, each body inside, and the whole text, marked.
@@ -148,10 +151,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.transform(F.split("text", "\n", -1), lambda x: unit_of(canonical(x), False)),
         F.concat(F.transform(inside, lambda x: unit_of(x, False)), F.array(unit_of(F.col("c"), True))),
     )
-    row = row.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.filter(units, lambda u: u["c"] != "").alias("units"))
+    row = row.select("row", F.filter(units, lambda u: u["c"] != "").alias("units"))
     unit = row.where(F.size("units") > 0).select("row", F.explode("units").alias("u")).select("row", F.sha2("u.c", 256).alias("digest"), "u.whole")
     found = unit.join(known.select("license_id", F.sha2("c", 256).alias("digest")), "digest").groupBy("row").agg(F.array_sort(F.collect_set("license_id")).alias("ids"), F.max("whole").alias("whole"))
-    return row.select("row", "doc_id").join(found, "row", "left").select(
+    return keyed.select("row", "doc_id").join(found, "row", "left").select(
         "doc_id",
         F.coalesce(F.array_join("ids", ","), F.lit("")).alias("licenses"),
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_licenses"),
