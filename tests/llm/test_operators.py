@@ -407,6 +407,13 @@ def test_license_scan_finds_every_known_text(spark):
     assert {r.doc_id: (r.licenses, r.whole_text) for r in out.collect()} == {0: ("Beer", True), 1: ("Beer", False), 2: ("", False)}
 
 
+def test_license_scan_after_a_shuffle(spark):
+    """Each row keeps its own licences where rows come by round robin."""
+    df = spark.range(20000, numPartitions=9).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Released under the MIT License.").otherwise("no").alias("text"))
+    out = license_scan.license_scan(df.repartition(13))
+    assert out.where("(n_licenses = 1) != (doc_id % 3 = 0)").count() == 0 and out.count() == 20000
+
+
 # 8 URL filters
 
 
@@ -472,6 +479,20 @@ def test_mixing_keeps_true_weights(spark, weights):
         assert all(abs(own[s] - w / 3 * (slot + 1)) < 1 for s, w in weights.items())
 
 
+def test_mixing_order_hangs_on_rows_alone(spark):
+    """Repeated and missing doc_ids, read in different orders, give the same mix; more sources than the period's slots do as well."""
+    data = [(None if i % 3 == 0 else i % 7, "x" * (i % 90) + str(i), "ab"[i % 2]) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    mixed = lambda d: sorted(map(repr, mixing.mixing(d, {"a": 2, "b": 1}, block_chars=300, slice_rows=50, with_columns=True).collect()))
+    first = mixed(df.coalesce(1))
+    assert first == mixed(df.repartition(7)) == mixed(df.orderBy(F.desc("text")).coalesce(1)) and len(first) == 900
+    slots = [r.n for r in mixing.mixing(df, {"a": 2, "b": 1}, block_chars=300, slice_rows=50).groupBy("slot").agg(F.count("*").alias("n")).collect()]
+    assert max(slots) < 60
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x" * 30).alias("text"), (F.col("id") % 100).cast("string").alias("source"))
+    out = mixing.mixing(many, block_chars=10, period=64).collect()
+    assert len(out) == 300 and len({(r.source, r.block) for r in out}) == len({r.slot for r in out})
+
+
 # 10 language model
 
 
