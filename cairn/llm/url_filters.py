@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Fixed values: (verdict, host with path prefix).
 RULES = [
     ("block", "com/en/"),
@@ -115,7 +117,7 @@ def url_filters(pages: DataFrame, rules=RULES, listed: DataFrame | None = None,
     page = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("u"))
     host, path = split_url(F.col("u"))
     page = page.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", rule_of(rules))
-    parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> concat(array_join(slice(split(host, '[.]'), i, 99), '.'), '/'))")
+    parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> concat(array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'), '/'))")
     asked = F.array_distinct(F.array_append(F.transform(parents, canonical), canonical(F.concat("host", "path"))))
     asked = F.when(F.col("fit").isNull() & (F.col("host") != ""), asked).otherwise(F.array().cast("array<string>"))
 
@@ -125,24 +127,14 @@ def url_filters(pages: DataFrame, rules=RULES, listed: DataFrame | None = None,
             h = np.concatenate([np.zeros(0, np.int64), *pdf["hashes"]]).astype(np.int64).view(np.uint64)
             row = np.repeat(np.arange(len(pdf)), sizes)
             hit = bloom.value.may_have(h) if len(h) else np.zeros(0, bool)
-            maybe = [[] for _ in range(len(pdf))]
-            for r, k in zip(row[hit].tolist(), (np.flatnonzero(hit) - (np.cumsum(sizes) - sizes)[row[hit]]).tolist(), strict=True):
-                maybe[r].append(pdf["keys"].iat[r][k])
-            yield pdf.drop(columns=["keys", "hashes"]).assign(maybe=maybe)
-
-    columns = "page_id long, host string, path string, rule string, verdict string"
-    tried = page.select("page_id", "host", "path", "fit.rule", "fit.verdict", asked.alias("keys"))
-    tried = tried.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-    tried = tried.mapInPandas(probe, columns + ", maybe array<string>")
-    found = (
-        tried.where(F.size("maybe") > 0)
-        .withColumn("key", F.explode("maybe"))
-        .join(keys.hint("shuffle_hash"), "key", "left_semi")
-    )
-    blocked = found.select("page_id", "host", "path").distinct().withColumn("listed", F.lit(True))
-    sure = tried.where(F.size("maybe") == 0).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    t, b = tried.where(F.size("maybe") > 0).alias("t"), blocked.alias("b")
-    same = F.col("t.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("t.host") == F.col("b.host")) & (F.col("t.path") == F.col("b.path"))
-    verdict = F.when(F.col("b.listed"), "block").otherwise("allow").alias("verdict")
-    passed = t.join(b, same, "left").select("t.page_id", "t.host", "t.path", "t.rule", verdict)
-    return sure.unionByName(passed)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keys_ = [pdf["keys"].iat[r][k] for r, k in zip(row[hit].tolist(), at[hit].tolist(), strict=True)]
+            yield pd.DataFrame({"row": pdf["row"].to_numpy()[row[hit]], "key": pd.Series(keys_, dtype=object)})
+
+    # Pages with their keys in a written table; the filter hands on only possible hits.
+    page = page.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "fit.rule", "fit.verdict", asked.alias("keys"))
+    page = written(page.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))), "pages")
+    possible = page.where(F.size("hashes") > 0).select("row", "keys", "hashes").mapInPandas(probe, "row long, key string")
+    blocked = possible.join(keys.hint("shuffle_hash"), "key", "left_semi").select("row").distinct().withColumn("listed", F.lit(True))
+    listed_ = F.when(F.col("listed"), "block").otherwise("allow")
+    return page.drop("keys", "hashes").join(blocked, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", listed_).alias("verdict"))
