@@ -433,6 +433,14 @@ def test_url_filters(spark):
     assert url_filters.url_filters(pages, listed=listed.limit(0)).where("rule IS NULL AND verdict = 'block'").count() == 0
 
 
+def test_url_filters_long_hosts_and_rows(spark):
+    """Parent domains of hosts of any number of labels; rows are judged each, also after a shuffle and with one page_id."""
+    deep = ".".join(["a"] * 150) + ".bad.test"
+    pages = spark.createDataFrame([(k % 5, f"http://{deep if k % 4 == 0 else 'ok.test'}/p{k}") for k in range(400)] + [(None, None)], "page_id long, url string")
+    out = url_filters.url_filters(pages.repartition(7), listed=spark.createDataFrame([("bad.test",)], "url string")).collect()
+    assert len(out) == 401 and all((r.verdict == "block") == (r.host == deep) for r in out) and sum(r.verdict == "block" for r in out) == 100
+
+
 def test_bloom_has_all_keys(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom = url_filters.build_bloom(keys)
