@@ -42,6 +42,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a written table in which each row has a number of its own, and the name of that column (none of docs' names)."""
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written(docs.select("*", F.monotonically_increasing_id().alias(name)), "keyed"), name
+
+
 def exact_ids(docs: DataFrame) -> DataFrame:
     """docs with doc_id 0 and missing true where it is null: a batch with nulls would hold its ids as floats in pandas."""
     return docs.withColumn("missing", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))

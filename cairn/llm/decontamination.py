@@ -10,13 +10,14 @@ Words are the symbols and blocks are pairs of neighbouring words. For patterns o
 The texts of a batch are laid end to end and cut into lanes; all lanes advance at once, each by its own shift.
 Patterns of fewer words than 2 are looked up word by word.
 
-The benchmark is measured first. Up to BLOCK_BYTES of text its tables go to every worker; beyond, items are
-dealt into blocks of that size, one search each, and the hits are merged per row: rows get a key of their own in
-a written table first, as doc_ids may be missing or repeated.
+The benchmark is measured first. Up to BROADCAST_BYTES of text the tables are made on the driver and go to every worker. A larger one stays
+in Spark: its windows are a written table, and only shift tables of a fixed number of slots (a slot is a block's hash; the least shift
+of the blocks in it) are sent out. What they do not skip is hash-joined with the windows, word for word. Both ways give the same rows.
 
 Edge cases: null texts and items have no words and no hits; items without words are no windows; windows that
-several items share count for each; repeated rows are judged each; empty tables give empty results (an empty
-benchmark leaves all documents clean).
+several items share count for each; an item without item_id is listed as the empty string; repeated rows are judged
+each; empty tables give empty results (an empty benchmark leaves all documents clean); further columns are not read, but row names
+one that is handed on.
 """
 
 from __future__ import annotations
@@ -25,13 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import exact_ids, mix64, texts, written
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
+SLOTS = 1 << 22  # of a shift table
+PART = 1 << 12  # slots that travel together
 LANE = 2048
 
 #: Bytes to word bytes: A-Z lower-cased, all else of \x00-\x2F \x3A-\x60 \x7B-\x7F a space.
@@ -42,6 +46,20 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
+def unskipped(n: int, m: int, shift) -> np.ndarray:
+    """Ends of places of m words that shift (a function of ends) does not skip; lanes advance side by side."""
+    ends = np.arange(m - 1, n, LANE)
+    stop = np.minimum(ends + LANE, n)
+    out = [ends[:0]]
+    while len(ends):
+        s = shift(ends)
+        out.append(ends[s == 0])
+        ends = ends + np.maximum(s, 1)
+        live = ends < stop
+        ends, stop = ends[live], stop[live]
+    return np.concatenate(out)
+
+
 class Patterns:
     """The windows of some items: word numbers, and shift and bucket tables for each length."""
 
@@ -93,18 +111,13 @@ class Patterns:
                 out.append((hit, np.ones(len(hit), np.int64), at[order[lo[hit]]]))
                 continue
             known, skip = shifts
-            ends = np.arange(m - 1, n, LANE)
-            stop = np.minimum(ends + LANE, n)
-            zero = []
-            while len(ends):
+
+            def shift(ends, known=known, skip=skip, m=m):
                 b = self.block(ids[ends - 1], ids[ends])
                 k = np.minimum(np.searchsorted(known, b), len(known) - 1)
-                s = np.where(known[k] == b, skip[k], m - 1)
-                zero.append(ends[s == 0])
-                ends = ends + np.maximum(s, 1)
-                live = ends < stop
-                ends, stop = ends[live], stop[live]
-            end = np.concatenate(zero)
+                return np.where(known[k] == b, skip[k], m - 1)
+
+            end = unskipped(n, m, shift)
             end = end[doc[end] == doc[end - m + 1]]
             b = self.block(ids[end - 1], ids[end])
             lo, hi = np.searchsorted(last, b, "left"), np.searchsorted(last, b, "right")
@@ -148,36 +161,119 @@ def _searcher(patterns):
     return make
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (places of hit words) and items (ids as strings, sorted) of each row."""
+def _windows(window: int):
+    """item and key (a window's words with spaces between) of each window, and m, the number of words."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
+                w = words_of(text)
+                if w:
+                    m = min(window, len(w))
+                    keys = list({b" ".join(w[k : k + m]) for k in range(len(w) - m + 1)})
+                    yield pd.DataFrame({"item": [item] * len(keys), "m": m, "key": keys})
+
+    return make
+
+
+def _slots(h: np.ndarray, m: int, slots: int) -> np.ndarray:
+    """The slot of each word with the one before it (for m = 1: of the word) in a row of word hashes."""
+    both = h if m == 1 else mix64(h[..., :-1] * np.uint64(0x9E3779B97F4A7C15) + h[..., 1:])
+    return (both % np.uint64(slots)).astype(np.int64)
+
+
+def _shifts(slots: int):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            for m, own in pdf.groupby("m"):
+                h = np.array([[xxhash.xxh3_64_intdigest(w) for w in bytes(k).split(b" ")] for k in own["key"]], np.uint64)
+                slot = _slots(h, m, slots)
+                shift = np.broadcast_to(np.arange(slot.shape[1])[::-1], slot.shape)
+                order = np.lexsort((shift.ravel(), slot.ravel()))
+                slot, shift = slot.ravel()[order], shift.ravel()[order]
+                first = np.r_[True, slot[1:] != slot[:-1]]
+                yield pd.DataFrame({"m": m, "slot": slot[first], "shift": shift[first]})
+
+    return make
+
+
+def _part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    out = np.full(PART, key[0], np.uint16)
+    np.minimum.at(out, pdf["slot"].to_numpy() % PART, pdf["shift"].to_numpy().astype(np.uint16))
+    return pd.DataFrame({"m": [key[0]], "part": [key[1]], "data": [out.tobytes()]})
+
+
+def _candidates(tables, slots: int):
+    """Of each document: n_words and the places that the shift tables do not skip, with their words."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        first = TaskContext.get().partitionId() << 40
+        for pdf in batches:
+            parts = [words_of(text) for text in pdf["text"]]
+            sizes = np.array([len(w) for w in parts], np.int64)
+            words = [w for part in parts for w in part]
+            hashes = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            begin = np.cumsum(sizes) - sizes
+            found: list[list[dict]] = [[] for _ in parts]
+            for m, table in tables.value.items():
+                if len(h) < m:
+                    continue
+                slot = _slots(h, m, slots)
+                end = unskipped(len(h), m, lambda ends, t=table, s=slot, m=m: t[s[ends - (m > 1)]].astype(np.int64))
+                end = end[doc[end] == doc[end - m + 1]]
+                for d, s in zip(doc[end].tolist(), (end - m + 1).tolist(), strict=True):
+                    found[d].append({"start": s - int(begin[d]), "key": b" ".join(words[s : s + m])})
+            yield pdf.drop(columns="text").assign(key_=np.arange(first, first + len(pdf)), n_words=sizes, places=found)
+            first += len(pdf)
+
+    return make
+
+
+def _joined(rows: DataFrame, items: DataFrame, window: int, slots: int, row: bool) -> DataFrame:
+    """benchmark_hits by a join of what shift tables of fixed size do not skip with the windows."""
+    spark = rows.sparkSession
+    windows = written(items.mapInPandas(_windows(window), "item string, m int, key binary"), "windows")
+    shifts = windows.select("m", "key").mapInPandas(_shifts(slots), "m int, slot int, shift int").groupBy("m", "slot").agg(F.min("shift").alias("shift"))
+    parts = shifts.withColumn("part", F.expr(f"slot div {PART}").cast("int")).groupBy("m", "part").applyInPandas(_part, "m int, part int, data binary")
+    tables: dict[int, np.ndarray] = {}
+    for r in parts.toLocalIterator():  # window x slots x 2 bytes at most
+        table = tables.setdefault(r.m, np.full(slots, max(1, r.m - 1), np.uint16))
+        table[r.part * PART : (r.part + 1) * PART] = np.minimum(np.frombuffer(r.data, np.uint16), max(1, r.m - 1))[: len(table) - r.part * PART]
+    schema = ("row long, " if row else "") + "doc_id long, missing boolean, key_ long, n_words long, places array<struct<start:int,key:binary>>"
+    found = written(rows.mapInPandas(_candidates(spark.sparkContext.broadcast(tables), slots), schema), "candidates")
+    place = found.select("key_", F.explode("places").alias("p")).select("key_", "p.start", "p.key")
+    own = windows.groupBy("key", "m").agg(F.collect_set("item").alias("items"))
+    occurs = written(place.join(own, "key").select("key_", "start", "m", "items"), "occurrences")
+    hits = occurs.select("key_", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("x")).distinct().groupBy("key_").agg(F.array_sort(F.collect_list("x")).alias("hits"))
+    names = occurs.select("key_", F.explode("items").alias("x")).distinct().groupBy("key_").agg(F.array_sort(F.collect_list("x")).alias("items"))
+    out = found.drop("places").join(hits, "key_", "left").join(names, "key_", "left")
+    return out.withColumns({"hits": F.coalesce("hits", F.array().cast("array<int>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, row: str | None = None, slots: int = SLOTS) -> DataFrame:
+    """doc_id, n_words, hits (places of hit words) and items (ids as strings, sorted) of each row; with row: also row."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).collect()[0][0]
-    blocks = max(1, -(-size // block_bytes))
-    schema = "doc_id long, n_words long, hits array<int>, items array<string>"
-    rows = texts(docs)
-    if blocks > 1:
-        rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
-        schema = f"row long, {schema}"
-    found = None
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in own.collect()], window))
-        one = rows.mapInPandas(_searcher(patterns), schema)
-        found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        found = found.groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        ).drop("row")
-    return found
-
-
-def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    rows = exact_ids(texts(docs, *([F.col(row).cast("long").alias("row")] if row else [])))
+    if size > broadcast_bytes:
+        found = _joined(rows, items, window, slots, row is not None)
+    else:
+        patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in items.collect()], window))
+        schema = "doc_id long, " + ("row long, " if row else "") + "missing boolean, n_words long, hits array<int>, items array<string>"
+        found = rows.mapInPandas(_searcher(patterns), schema)
+    return found.select(F.expr("IF(missing, NULL, doc_id)").alias("doc_id"), "n_words", "hits", "items", *(["row"] if row else []))
+
+
+def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, slots: int = SLOTS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of docs."""
-    found = benchmark_hits(docs, benchmark, window, block_bytes)
+    found = benchmark_hits(docs, benchmark, window, broadcast_bytes, slots=slots)
     return found.select(
         "doc_id",
         "n_words",

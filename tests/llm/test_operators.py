@@ -360,13 +360,13 @@ def brute_hits(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 600])
-def test_decontamination(spark, odd, none, block_bytes):
+@pytest.mark.parametrize("block_bytes, slots", [(1 << 20, 1), (600, 1 << 22), (600, 50)])
+def test_decontamination(spark, odd, none, block_bytes, slots):
     items = [(1, P.format(1, 2, 3)), (2, None), (3, "one two THREE"), (10, "é" * 300), (4, "!!"), (5, P.format(1, 2, 3) + "more words"), (6, "w7 w8 w9 w10 w11 w12 w13 w14 w15 w16")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     more = spark.createDataFrame(rows("so " + P.format(1, 2, 3).upper() + " and one-two,three", "one two", start=90), COLUMNS)
     df = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(more)
-    got = {r.doc_id: tuple(r)[1:] for r in decontamination.decontamination(df, bench, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in decontamination.decontamination(df, bench, broadcast_bytes=block_bytes, slots=slots).collect()}
     assert got == brute_hits(text_of(df), items)
     assert decontamination.decontamination(none, bench).count() == 0
     assert decontamination.decontamination(odd, bench.limit(0)).where("contaminated").count() == 0
@@ -378,10 +378,24 @@ def test_decontamination_blocks_keep_rows(spark, odd):
     bench = spark.createDataFrame(items, "item_id long, text string")
     more = spark.createDataFrame([(None, "clean"), (None, "one two three"), (4, "clean"), (4, P.format(1, 2, 3))], "doc_id long, text string")
     df = odd.select("doc_id", "text").unionByName(more)
-    plain = [sorted(map(repr, decontamination.benchmark_hits(df, bench, block_bytes=b).collect())) for b in (1 << 20, 100)]
+    plain = [sorted(map(repr, decontamination.benchmark_hits(df, bench, broadcast_bytes=b).collect())) for b in (1 << 20, 100)]
     assert len(plain[0]) == df.count() and plain[0] == plain[1]
 
 
+def test_decontamination_large_benchmark(spark):
+    """A benchmark of more than 32 MiB stays in Spark; an item without item_id is listed as an empty string."""
+    item = F.concat_ws(" ", *[F.concat(F.lit("w"), F.hash(F.lit(j), "id").cast("string")) for j in range(30)])
+    bench = spark.range(120000).select(F.col("id").alias("item_id"), F.translate(item, "-", "m").alias("text"))
+    bench = bench.unionByName(spark.createDataFrame([(None, "a text of nobody"), (5, None)], "item_id long, text string"))
+    assert bench.agg(F.sum(F.octet_length("text"))).first()[0] > 32 << 20
+    some = {r.item_id: r.text for r in bench.where("item_id IN (3, 70000, 119999)").collect()}
+    data = [(1, "so " + " ".join(some[3].split()[4:16]) + " end"), (None, some[70000].upper()), (2, " ".join(some[119999].split()[:9])), (2, "this is a text of nobody!"), (3, None)]
+    out = decontamination.benchmark_hits(spark.createDataFrame(data, "doc_id long, text string"), bench).collect()
+    assert sorted((str(r.doc_id), len(r.hits), r.items) for r in out) == [("1", 12, ["3"]), ("2", 0, []), ("2", 4, [""]), ("3", 0, []), ("None", 30, ["70000"])]
+    small = bench.where("item_id IS NULL OR item_id < 9")
+    assert sorted(map(repr, decontamination.benchmark_hits(spark.createDataFrame(data, "doc_id long, text string"), small).where("doc_id = 2").select("items").collect())) == ["Row(items=[''])", "Row(items=[])"]
+
+
 # 7 licence scan
 
 
