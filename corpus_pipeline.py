@@ -1,7 +1,12 @@
 """A training corpus from raw documents: five stages, each a written table that the next one reads.
 
 quality rules -> near duplicates -> repeated passages -> benchmark passages -> mix.
-Rows without doc_id end at the second stage, which names documents by it.
+
+Rows are told apart by a key of their own, not by doc_id: a row without doc_id, or one that shares its doc_id with another
+text, stays unless a stage has a reason of its own against it. Of rows alike one stays (near duplicates). What each stage does with odd rows:
+null and empty texts fail the quality rules; a row that loses all of its text as repeated passages stays with an empty text;
+a null source is a source of its own in the mix. An empty table gives an empty result; further columns are carried along up
+to the mix, which returns doc_id, source, block, slot, text and lang.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import scratch_dir
+from cairn.llm.common import keyed, scratch_dir
 from cairn.llm.decontamination import benchmark_hits
 from cairn.llm.mixing import mixing
 from cairn.llm.near_duplicates import near_duplicates
@@ -24,28 +29,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest doc_id."""
-    classes = near_duplicates(docs)
-    first = classes.where(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each class of near duplicates: the one with the smallest doc_id (rows without one come last)."""
+    rows, key = keyed(docs)
+    first = near_duplicates(rows, row=key).where("first").select(F.col("row").alias(key))
+    return rows.join(first, key, "left_semi").select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that also start earlier; n_chars follows."""
-    cut = suffix_dedup(docs, with_text=True).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text")).dropDuplicates(["_id"])
-    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return docs.drop("text", "n_chars").join(cut, F.col("doc_id") == F.col("_id")).withColumns(new).select(docs.columns)
+    rows, key = keyed(docs)
+    cut = suffix_dedup(rows, with_text=True, row=key).select(F.col("row").alias(key), F.col("kept_text").alias("text"))
+    new = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return rows.drop("text", "n_chars").join(cut, key).withColumns(new).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of a benchmark window."""
-    hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.where(F.size("hits") > 0).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows, key = keyed(docs)
+    hits = benchmark_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=key)
+    return rows.join(hits.where(F.size("hits") > 0).select(F.col("row").alias(key)), key, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's block and slot in the mix of sources."""
-    return mixing(docs, MIX)
+    """Each document with its block and slot in the mix of sources."""
+    return mixing(docs, MIX, with_columns=True).select("doc_id", "source", "block", "slot", "all.text", "all.lang")
 
 
 STAGES = [
