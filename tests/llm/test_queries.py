@@ -52,6 +52,12 @@ def test_pipeline_odd_rows(spark, sf):
         [(1, None, None, None, None, True), (2, "", "en", "s", 0, True), (None, "x " * 300, "en", "s", 5, None), (3, " ".join(f"word{i}" for i in range(300)), "en", None, None, False)],
         "doc_id long, text string, lang string, source string, n_chars long, kept boolean",
     )
+    texts_ = [" ".join(f"{w}{i}" for i in range(300)) for w in ("one", "two", "six", "ten")]
+    same_id = spark.createDataFrame([(7, t, "en", "s", 9, True) for t in texts_[:3]] + [(None, texts_[3], "en", "s", 9, True)] * 2, docs.schema)
+    kept = corpus_pipeline.near_duplicate(spark, same_id, sf)
+    assert sorted(r.text for r in kept.collect()) == sorted(texts_), "different texts stay whatever their ids, of rows alike one"
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert sorted(r.text for r in stage(spark, kept, sf).collect()) == sorted(texts_)
     for d in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, d, sf)
