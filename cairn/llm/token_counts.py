@@ -2,14 +2,15 @@
 
 1. Documents are read in batches. A batch becomes one row of a written table: its documents with the
    frequencies of their pre-tokens (a sparse matrix over batch-local numbers) and its distinct pre-tokens.
-   Pre-tokens that are entries of the vocabulary have a known count and need no join; the vocabulary is a
-   file of fixed size that each worker reads.
-2. The other pre-tokens of all batches are dealt out and sorted by pre-token; each distinct one is encoded once,
+2. The pre-tokens of all batches are dealt out and sorted by pre-token; each distinct one is encoded once,
    and its count goes to every batch that has it.
 3. The counts are joined to the batches' frequencies and summed per document. No ids are kept.
 
 A frequent pre-token comes once per batch at most, so no key is hot.
 
+The split is that of the tokenizer's file: by the published pattern where the file has the plain byte-level pre-tokenizer, else by the
+library itself; a file that rewrites texts before the split (a normalizer) is refused.
+
 Edge cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; special strings
 inside texts are one token, as the library's default has it; an empty table gives an empty result.
 """
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, texts, unpacked, written
+from .common import exact_ids, packed, texts, unpacked, written
 
 LIMIT = 512
 
@@ -40,30 +41,32 @@ KNOWN = "\\u0000-\\u0557\\u0cdd-\\u208e\\u20a0-\\ua7cd\\uab6e-\\ud7ff\\ue000-\\u
 
 @lru_cache(maxsize=2)
 def _library(path: str):
-    """The tokenizer, its special strings, and the count of each vocabulary entry's own text."""
+    """The tokenizer, its special strings, and whether it splits by PATTERN."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
-        special = [x["content"] for x in json.load(f)["added_tokens"]]
-    words = [w for w in (tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())) if w and "�" not in w]
-    known = {w: len(e.ids) for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
-    return tokenizer, special, known
+        file = json.load(f)
+    if file.get("normalizer"):
+        raise ValueError("tokenizers that rewrite texts are not supported")
+    split = file.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return tokenizer, [x["content"] for x in file["added_tokens"]], plain
 
 
 def splitter(path: str):
     """A function from a text to its pre-tokens; special strings are pre-tokens of their own."""
     import regex
 
-    tokenizer, special, _ = _library(path)
+    tokenizer, special, by_pattern = _library(path)
     find = regex.compile(PATTERN).findall
     unknown = regex.compile(f"[^{KNOWN}]").search
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
     def plain(text: str) -> list[str]:
-        if unknown(text):
-            return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return find(text)
+        if by_pattern and not unknown(text):
+            return find(text)
+        return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else [text]
 
     def split(text: str) -> list[str]:
         if not any(x in text for x in special):
@@ -76,19 +79,15 @@ def splitter(path: str):
 def _frequencies(path: str):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = splitter(path)
-        known = _library(path)[2]
         part = TaskContext.get().partitionId()
         for seq, pdf in enumerate(batches):
             local: defaultdict[str, int] = defaultdict()
             local.default_factory = local.__len__
-            n_bytes, base, sizes, ids, counts = [], [], [], [], []
+            n_bytes, sizes, ids, counts = [], [], [], []
             for text in pdf["text"]:
                 n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
                 tokens = split(text)
-                there = list(map(known.get, tokens))
-                base.append(sum(x for x in there if x))
-                rest = [local[t] for t, x in zip(tokens, there, strict=True) if x is None]
-                i, c = np.unique(np.array(rest, np.uint32), return_counts=True)
+                i, c = np.unique(np.fromiter(map(local.__getitem__, tokens), np.uint32, len(tokens)), return_counts=True)
                 sizes.append(len(i))
                 ids.append(i)
                 counts.append(c.astype(np.uint32))
@@ -103,9 +102,8 @@ def _frequencies(path: str):
             yield pd.DataFrame(
                 {
                     "batch": [(part << 32) + seq],
-                    "doc_ids": [pdf["doc_id"].isna().to_numpy().tobytes() + pdf["doc_id"].fillna(0).to_numpy(np.int64).tobytes()],
+                    "doc_ids": [pdf["missing"].to_numpy(bool).tobytes() + pdf["doc_id"].to_numpy(np.int64).tobytes()],
                     "n_bytes": [np.array(n_bytes, np.int64).tobytes()],
-                    "base": [np.array(base, np.int64).tobytes()],
                     "sizes": [np.array(sizes, np.int64).tobytes()],
                     "ids": [join(steps)],
                     "counts": [join(counts)],
@@ -137,7 +135,7 @@ def _encode(path: str):
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples():
-            n_bytes, base, sizes = (np.frombuffer(x, np.int64) for x in (row.n_bytes, row.base, row.sizes))
+            n_bytes, sizes = (np.frombuffer(x, np.int64) for x in (row.n_bytes, row.sizes))
             doc_ids = pd.array(np.frombuffer(row.doc_ids[len(sizes) :], np.int64), "Int64")
             doc_ids[np.frombuffer(row.doc_ids[: len(sizes)], bool)] = pd.NA
             steps, counts = unpacked(row.ids, np.uint32), unpacked(row.counts, np.uint32)
@@ -148,16 +146,16 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if row.at is not None:
                 n[np.asarray(row.at)] = np.asarray(row.n)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            total = base + np.bincount(doc, n[ids] * counts if len(ids) else None, len(sizes)).astype(np.int64)
+            total = np.bincount(doc, n[ids] * counts if len(ids) else None, len(sizes)).astype(np.int64)
             yield pd.DataFrame({"doc_id": doc_ids, "n_bytes": n_bytes, "n_tokens": total})
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row, for a byte-level BPE file of the tokenizers library."""
     table = written(
-        texts(docs).mapInPandas(
+        exact_ids(texts(docs)).mapInPandas(
             _frequencies(tokenizer),
-            "batch long, doc_ids binary, n_bytes binary, base binary, sizes binary, ids binary, counts binary, pieces array<string>",
+            "batch long, doc_ids binary, n_bytes binary, sizes binary, ids binary, counts binary, pieces array<string>",
         ),
         "frequencies",
     )
