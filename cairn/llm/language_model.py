@@ -6,7 +6,8 @@ blocks send the distinct keys they hold to the shards that own them, a shard mer
 memory-maps its sorted arrays, and answers each block's keys by binary search:
 
 1. words: 64-bit hashes; the answer is a word's number and count;
-2. bigrams: the numbers of both words; the answer is the count. Shards also add up what contexts and words
+2. bigrams: the numbers of both words (of any size: keys hold 32 bits of each, the rest is a page that the shard belongs to); the answer is the
+   count. Shards also add up what contexts and words
    need: tokens after a context, how many of its continuations came once, twice, more often, and after how many
    different words a word came;
 3. words again, for these sums.
@@ -33,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, packed, texts, unpacked, written
+from .common import LOWER, exact_ids, mix64, packed, texts, unpacked, written
 
 BLOCK_BYTES = 12 << 20  # text of a block
 SHARD_KEYS = 1 << 20  # distinct keys that blocks send to one shard, about
 END, BEGIN = b"\n", b" "  # no word has white space
 UNKNOWN_ID, BEGIN_ID, FIRST_ID = 0, 1, 2
+PAGE_BITS = 32  # a bigram's key has so many bits of each word's number; what is above them names a page, which is counted apart
+PAGE_HALF = 20  # bits of a page for the second word
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,7 +71,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(
                 {
                     "block": [(part << 32) + seq],
-                    "doc_ids": [own["doc_id"].astype("float64").isna().to_numpy().tobytes() + own["doc_id"].fillna(0).to_numpy(np.int64).tobytes()],
+                    "doc_ids": [own["missing"].to_numpy(bool).tobytes() + own["doc_id"].to_numpy(np.int64).tobytes()],
                     "train": [train.tobytes()],
                     "sizes": [packed(sizes)],
                     "tokens": [packed(tokens)],
@@ -150,12 +153,10 @@ def _word_shard(shards: int):
         counts = [unpacked(y, np.uint32).astype(np.int64) for y in pdf["y"]]
         k, c = _summed([k[c > 0] for k, c in zip(keys, counts, strict=True)], [c[c > 0, None] for c in counts])
         k, c = _mapped(k), _mapped(c[:, 0])
-        if len(k) * shards + shard + FIRST_ID >= 2**32:
-            raise ValueError("more than 2**32 distinct words")
         rows = [("sums", shard, None, None, None, [int(c.sum()), len(k)])]
         for block, own in zip(pdf["block"], keys, strict=True):
             at, hit = _find(k, own)
-            ids = np.where(hit, at * shards + shard + FIRST_ID, UNKNOWN_ID).astype(np.uint32)
+            ids = np.where(hit, at * shards + shard + FIRST_ID, UNKNOWN_ID).astype(np.uint64)
             found = np.where(hit, c[at], 0) if len(k) else np.zeros(len(own))
             rows.append(("words", shard, block, packed(ids), packed(found.astype(np.uint64)), None))
         return _table(rows)
@@ -173,38 +174,46 @@ class _Block:
         self.doc_ids = np.frombuffer(row.doc_ids[n:], np.int64)
         self.train = np.frombuffer(row.train, bool)
         hashes = np.frombuffer(row.hashes, np.uint64)
-        self.ids, self.counts = np.zeros(len(hashes), np.uint32), np.zeros(len(hashes), np.uint64)
+        self.ids, self.counts = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
         order = np.argsort(hashes)
         parts = _by_shard(hashes[order], shards, True)
         for r in replies[replies["kind"] == "words"].itertuples():
             at = order[parts[r.shard]]
-            self.ids[at], self.counts[at] = unpacked(r.x, np.uint32), unpacked(r.y, np.uint64)
+            self.ids[at], self.counts[at] = unpacked(r.x, np.uint64), unpacked(r.y, np.uint64)
 
-    def bigrams(self) -> np.ndarray:
-        """A key for each token with the word before it; 0 where either is unknown."""
-        w = self.ids[self.tokens].astype(np.uint64)
+    def bigrams(self, page_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Page by page: the tokens that are known as well as the word before them, and the key of both."""
+        w = self.ids[self.tokens]
         v = np.empty_like(w)
         v[1:] = w[:-1]
         v[np.cumsum(self.sizes) - self.sizes] = BEGIN_ID
-        return np.where((w > 0) & (v > 0), (v << np.uint64(32)) | w, np.uint64(0))
+        known = np.flatnonzero((w > 0) & (v > 0))
+        v, w = v[known], w[known]
+        bits = np.uint64(page_bits)
+        low = (np.uint64(1) << bits) - np.uint64(1)
+        page = (v >> bits) << np.uint64(PAGE_HALF) | w >> bits
+        key = (v & low) << np.uint64(32) | w & low
+        for p in np.unique(page).tolist():
+            own = page == p
+            yield (p, known, key) if own.all() else (p, known[own], key[own])
 
     def known_ids(self) -> np.ndarray:
         own = np.unique(self.ids)
-        return np.r_[np.uint32(BEGIN_ID), own[own > 0]].astype(np.uint64)
+        return np.r_[np.uint64(BEGIN_ID), own[own > 0]]
 
 
-def _ask_bigrams(shards: int, word_shards: int):
+def _ask_bigrams(shards: int, word_shards: int, page_bits: int):
     def make(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.itertuples():
             block = _Block(row, replies, word_shards)
-            keys = block.bigrams()
             train = np.repeat(block.train, block.sizes)
-            both = np.sort(keys[keys > 0])
-            own = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-            learned = np.sort(keys[(keys > 0) & train])
-            counts = (np.searchsorted(learned, own, "right") - np.searchsorted(learned, own, "left")).astype(np.uint32)
-            out += [("bigrams", s, row.block, packed(own[i]), packed(counts[i]), None) for s, i in enumerate(_by_shard(own, shards, False)) if len(i)]
+            for page, at, keys in block.bigrams(page_bits):
+                both = np.sort(keys)
+                own = both[np.r_[True, both[1:] != both[:-1]]]
+                learned = np.sort(keys[train[at]])
+                counts = (np.searchsorted(learned, own, "right") - np.searchsorted(learned, own, "left")).astype(np.uint32)
+                out += [("bigrams", s, row.block, packed(own[i]), packed(counts[i]), [page]) for s, i in enumerate(_by_shard(own, shards, False)) if len(i)]
             ids = block.known_ids()
             out += [("ids", s, row.block, packed(ids[i]), None, None) for s, i in enumerate(_by_shard(ids, word_shards, False)) if len(i)]
         return _table(out)
@@ -212,9 +221,9 @@ def _ask_bigrams(shards: int, word_shards: int):
     return make
 
 
-def _bigram_shard(word_shards: int):
+def _bigram_shard(word_shards: int, page_bits: int):
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iat[0])
+        shard, page = int(pdf["shard"].iat[0]), int(pdf["z"].iat[0][0])
         keys = [unpacked(x, np.uint64) for x in pdf["x"]]
         counts = [unpacked(y, np.uint32).astype(np.int64) for y in pdf["y"]]
         k, c = _summed([k[c > 0] for k, c in zip(keys, counts, strict=True)], [c[c > 0, None] for c in counts])
@@ -222,9 +231,10 @@ def _bigram_shard(word_shards: int):
         rows = [("sums", shard, None, None, None, _histogram(c))]
         for block, own in zip(pdf["block"], keys, strict=True):
             at, hit = _find(k, own)
-            rows.append(("bigrams", shard, block, packed((np.where(hit, c[at], 0) if len(k) else np.zeros(len(own))).astype(np.uint32)), None, None))
+            rows.append(("bigrams", shard, block, packed((np.where(hit, c[at], 0) if len(k) else np.zeros(len(own))).astype(np.uint32)), None, [page]))
         # As contexts: tokens after it, continuations seen once, twice, more. As words: contexts before it.
-        context, word = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
+        context = k >> np.uint64(32) | np.uint64((page >> PAGE_HALF) << page_bits)
+        word = k & np.uint64(0xFFFFFFFF) | np.uint64((page & (1 << PAGE_HALF) - 1) << page_bits)
         zero = np.zeros(len(k), np.int64)
         as_context = np.stack([c, c == 1, c == 2, c > 2, zero], 1).astype(np.int64)
         as_word = np.stack([zero, zero, zero, zero, zero + 1], 1)
@@ -268,7 +278,7 @@ class Totals:
         self.rest = float(self.d1[1] * continued[0] + self.d1[2] * continued[1] + self.d1[3] * more)
 
 
-def _scores(totals: Totals, shards: int, word_shards: int):
+def _scores(totals: Totals, shards: int, word_shards: int, page_bits: int):
     def make(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_tokens": [], "n_known": [], "base_score": [], "score": []})]
         for row in rows.itertuples():
@@ -278,15 +288,18 @@ def _scores(totals: Totals, shards: int, word_shards: int):
             parts = _by_shard(ids, word_shards, False)
             for r in replies[replies["kind"] == "contexts"].itertuples():
                 about[parts[r.shard]] = unpacked(r.x, np.uint64).reshape(-1, 5)
-            keys = b.bigrams()
-            own = np.unique(keys[keys > 0])
-            count = np.zeros(len(own) + 1)
-            parts = _by_shard(own, shards, False)
-            for r in replies[replies["kind"] == "bigrams"].itertuples():
-                count[parts[r.shard]] = unpacked(r.x, np.uint32)
+            c = np.zeros(len(b.tokens))
+            counted = replies[replies["kind"] == "bigrams"]
+            for page, at, keys in b.bigrams(page_bits):
+                own = np.unique(keys)
+                count = np.zeros(len(own))
+                parts = _by_shard(own, shards, False)
+                for r in counted[[z[0] == page for z in counted["z"]]].itertuples():
+                    count[parts[r.shard]] = unpacked(r.x, np.uint32)
+                c[at] = count[np.searchsorted(own, keys)]
             # Word and context of each token as rows of about; row 0 is the beginning, unknown words get an empty row.
             about = np.vstack([about, np.zeros(5)])
-            place = np.where(b.ids > 0, np.searchsorted(ids, b.ids.astype(np.uint64)), len(ids))
+            place = np.where(b.ids > 0, np.searchsorted(ids, b.ids), len(ids))
             w = place[b.tokens]
             v = np.empty_like(w)
             v[1:] = w[:-1]
@@ -294,7 +307,6 @@ def _scores(totals: Totals, shards: int, word_shards: int):
             t = totals
             cont = about[:, 4]
             lower = (np.maximum(cont - t.d1[np.minimum(cont, 3).astype(np.int64)], 0) + t.rest / (t.words + 1)) / t.total if t.total else np.full(len(cont), 1.0 / (t.words + 1))
-            c = count[np.where(keys > 0, np.searchsorted(own, keys), len(own))]
             after = about[:, 0]
             spread = about[:, 1] * t.d2[1] + about[:, 2] * t.d2[2] + about[:, 3] * t.d2[3]
             seen = after > 0
@@ -312,17 +324,17 @@ def _scores(totals: Totals, shards: int, word_shards: int):
     return make
 
 
-def language_model(docs: DataFrame, train: Column) -> DataFrame:
+def language_model(docs: DataFrame, train: Column, page_bits: int = PAGE_BITS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row, learning from rows where train holds."""
-    blocks = written(texts(docs, F.coalesce(train, F.lit(True)).alias("train")).mapInPandas(_blocks, _BLOCK), "blocks")
+    blocks = written(exact_ids(texts(docs, F.coalesce(train, F.lit(True)).alias("train"))).mapInPandas(_blocks, _BLOCK), "blocks")
     size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     word_shards = int(size["words"]) // SHARD_KEYS + 1
     shards = int(size["tokens"]) // SHARD_KEYS + 1
     asked = blocks.select("block", "hashes", "counts").mapInPandas(_ask_words(word_shards), _ASK)
     words = written(asked.groupBy("shard").applyInPandas(_word_shard(word_shards), _REPLY), "words")
     known = words.where("kind = 'words'")
-    asked = written(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_ask_bigrams(shards, word_shards), _REPLY), "asked")
-    bigrams = written(asked.where("kind = 'bigrams'").groupBy("shard").applyInPandas(_bigram_shard(word_shards), _REPLY), "bigrams")
+    asked = written(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_ask_bigrams(shards, word_shards, page_bits), _REPLY), "asked")
+    bigrams = written(asked.where("kind = 'bigrams'").groupBy("shard", "z").applyInPandas(_bigram_shard(word_shards, page_bits), _REPLY), "bigrams")
     parts = bigrams.where("kind = 'parts'").unionByName(asked.where("kind = 'ids'"))
     contexts = written(parts.groupBy("shard").applyInPandas(_context_shard, _REPLY), "contexts")
 
@@ -335,6 +347,6 @@ def language_model(docs: DataFrame, train: Column) -> DataFrame:
     totals = Totals(tokens, vocabulary, sums(bigrams, 4), [n1, n2, n3, n4], more, total)
     replies = known.unionByName(bigrams.where("kind = 'bigrams'")).unionByName(contexts.where("kind = 'contexts'"))
     scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
-        _scores(totals, shards, word_shards), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+        _scores(totals, shards, word_shards, page_bits), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,4 +1,7 @@
-"""One query per operator over its whole table, and DuckDB SQL where SQL can say it."""
+"""One query per operator over its whole table, and DuckDB SQL where SQL can say it.
+
+Rows without doc_id are in no held-out fold: held_out is false for them.
+"""
 
 from __future__ import annotations
 
@@ -31,7 +34,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = toxicity.fold("doc_id", 5) == 0
+    held_out = F.coalesce(toxicity.fold("doc_id", 5) == 0, F.lit(False))
     field = toxicity.fit_field(docs, labels.where(~held_out))
     scored = toxicity.toxicity(docs, field)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -60,7 +63,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = toxicity.fold("doc_id", 7) == 2
+    held_out = F.coalesce(toxicity.fold("doc_id", 7) == 2, F.lit(False))
     scored = language_model.language_model(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -542,15 +542,16 @@ def brute_model(texts, train):
     return out
 
 
-@pytest.mark.parametrize("keys", [1 << 20, 700])
-def test_language_model(spark, docs, odd, none, keys, monkeypatch):
+@pytest.mark.parametrize("keys, bits", [(1 << 20, 32), (700, 32), (50000, 13)])
+def test_language_model(spark, docs, odd, none, keys, bits, monkeypatch):
+    """Equal to brute force, also with words numbered beyond a page."""
     monkeypatch.setattr(language_model, "SHARD_KEYS", keys)
     monkeypatch.setattr(language_model, "BLOCK_BYTES", keys * 100)
     df = docs.select("doc_id", "text").unionByName(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select((F.col("doc_id") + 10000).alias("doc_id"), "text"))
     texts = text_of(df)
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
     want = brute_model(texts, train)
-    got = language_model.language_model(df, toxicity.fold("doc_id", 7) != 2).collect()
+    got = language_model.language_model(df, toxicity.fold("doc_id", 7) != 2, bits).collect()
     assert len(got) == len(want)
     for r in got:
         assert np.allclose(tuple(r)[1:], want[r.doc_id], rtol=1e-7), r
