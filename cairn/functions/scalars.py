@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 # Kinds of files by extension.
 KINDS = [
-    ("text", "txt|text|log|csv|tsv|xml|readme"),
-    ("archive", "zip|gz|gzip|tgz|tar|bz|bz2|bzip|bzip2|tbz|tbz2|lzma|lz|rar|7z"),
-    ("audio", "mp3|wav|ogg|flac|aif|aiff"),
-    ("image", "jpg|jpeg|png|gif|bmp|tif|tiff|svg"),
-    ("video", "avi|mpg|mpeg|mov|mp4|wmv"),
-    ("html", "htm|html|php|jsp|asp"),
+    ("text", "txt|rtf|rtx|inf|ini"),
+    ("archive", "zip|tgz|tar|tar[.]gz|gzip"),
+    ("audio", "mp3|wav|midi"),
+    ("image", "gif|jpeg|jpg|png|tif|tiff|bmp"),
+    ("video", "wmv|asf|mov|mp4|mpeg|qt|avi"),
+    ("html", "htm|html|php|asp|jsp|css|xml|shtml"),
     ("pdf", "pdf"),
-    ("office", "doc|docx|xls|xlsx|ppt|pptx|odt|ods|odp"),
+    ("document", "odt|doc"),
+    ("presentation", "odp|ppt"),
+    ("spreadsheet", "ods|xls|csv"),
 ]
 # Bits of a server's and of a catalogue row's flags.
 SERVER_FLAGS = {"core": 1, "online": 2, "readable": 4, "writable": 8, "ssl": 16}
@@ -47,6 +49,34 @@ def number_to_ip(n: Column) -> Column:
     return F.concat_ws(".", byte(24), byte(16), byte(8), byte(0))
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """The 16 bytes of an IPv6 address, as hex; null if it is none."""
+    halves = F.split(F.lower(ip), "::")
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = groups(halves[0]), F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    lack = F.lit(8) - F.size(left) - F.size(right)
+    fits = F.when(F.size(halves) == 1, lack == 0).otherwise((F.size(halves) == 2) & (lack >= 1))
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(lack, F.lit(0))), right)
+    good = fits & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ~ip.rlike("^:[^:]|[^:]:$|:::")
+    return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def ipv6_text(data_hex: Column) -> Column:
+    """16 bytes as eight groups without leading zeros."""
+    group = lambda i: F.lower(F.conv(F.substring(data_hex, i * 4 + 1, F.lit(4)), 16, 16))
+    return F.when(F.length(data_hex) == 32, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group), ":"))
+
+
+def long_bytes(n: Column) -> Column:
+    """A long as 8 bytes, the highest first, as hex."""
+    return F.lower(F.lpad(F.hex(n.cast("long")), 16, "0"))
+
+
+def bytes_long(data_hex: Column) -> Column:
+    """Eight bytes in hex as a signed long."""
+    return F.conv(data_hex, 16, -10).cast("long")
+
+
 def ip_version(ip: Column) -> Column:
     return F.when(ip.contains(":"), 6).when(ip.contains("."), 4)
 

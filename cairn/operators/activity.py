@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mask_matches
@@ -36,7 +37,22 @@ def replay_deletes(log: DataFrame, since: int, until: int, held: DataFrame, user
     return own.groupBy("hash").agg(F.max("ts").alias("ts"))
 
 
-def replay_adds(log: DataFrame, since: int, until: int, held: DataFrame, first: int, last: int) -> DataFrame:
-    """hash and ts of additions since then that lie in the own span and are not held yet."""
+def append(log: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """New entries (host, seq and what they hold) as a host's log takes them: ts rises with each and is not before now or the log's last entry; index goes on
+    from the log's last one. A host's new entries are one sorted pass."""
+    ends = log.groupBy("host").agg(F.max("ts").alias("_ts"), F.max("index").alias("_index"))
+    turn = F.row_number().over(W.partitionBy("host").orderBy("seq"))
+    j = new.withColumn("_turn", turn).join(ends, "host", "left")
+    ts = F.greatest(F.lit(now).cast("long"), F.coalesce(F.col("_ts") + 1, F.lit(0))) + F.col("_turn") - 1
+    return j.withColumns({"ts": ts, "index": F.coalesce("_index", F.lit(-1)) + F.col("_turn")}).drop("_turn", "_ts", "_index")
+
+
+def replay_adds(log: DataFrame, since: int, until: int, held: DataFrame, first: int, last: int, users: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
+    """hash and ts of additions since then that lie in the own span and are not held yet; with users, only by those who may set data; with source, only what
+    the other server still holds."""
     own = between(log, since, until, SET).where(F.col("place").between(first, last)).join(held.select("hash"), "hash", "left_anti")
+    if users is not None:
+        own = own.join(users.where("may_set").select("user_id"), "user_id", "left_semi")
+    if source is not None:
+        own = own.join(source.select("hash"), "hash", "left_semi")
     return own.groupBy("hash").agg(F.max("ts").alias("ts"))

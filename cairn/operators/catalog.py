@@ -16,11 +16,28 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def status_upsert(rows: DataFrame) -> DataFrame:
+def status_upsert(rows: DataFrame, keep_seq: bool = False) -> DataFrame:
     """Per host: the last update's row, the last response time of any row; an offline report wins whenever it came."""
-    w = W.partitionBy("host")
-    seen = rows.withColumn("response_ts", F.max("response_ts").over(w)).withColumn("online", F.min(F.col("online").cast("int")).over(w) == 1)
-    return latest(seen, ["host"], [F.desc("update_ts"), F.desc("seq")]).drop("seq")
+    own = [c for c in rows.columns if c not in ("host", "response_ts", "online")]
+    last = F.max_by(F.struct(*own), F.struct("update_ts", "seq")).alias("_last")
+    out = rows.groupBy("host").agg(last, F.max("response_ts").alias("response_ts"), F.bool_and("online").alias("online"))
+    return out.select("host", *[f"_last.{c}" for c in own if keep_seq or c != "seq"], "response_ts", "online")
+
+
+def without_defunct(rows: DataFrame, now: int, threshold: int, connected: list[str] = ()) -> DataFrame:
+    """Rows without servers that are offline, not core, not connected and last updated more than threshold before now; 0 keeps all."""
+    if threshold <= 0:
+        return rows
+    gone = ~F.col("online") & ~F.col("is_core") & ~F.col("host").isin(list(connected)) & (F.lit(now) - F.col("update_ts") > threshold)
+    return rows.where(~F.coalesce(gone, F.lit(False)))
+
+
+def ring_groups(rows: DataFrame, own: str, size: int) -> DataFrame:
+    """rows without the own host, with grp_no: groups of size in the ring of hosts that begins after it."""
+    from .metadata import numbered
+
+    others = rows.where(F.col("host") != own).withColumn("_turn", F.when(F.col("host") > own, 0).otherwise(1))
+    return numbered(others, [F.col("_turn"), F.col("host")], "_n").withColumn("grp_no", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n", "_turn")
 
 
 def status_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -61,6 +61,17 @@ def eta_contextual(progress: DataFrame, by: str, total: Column, seconds: int = 6
     return out.withColumn("left", F.when(F.col("last") > 0, F.floor(F.greatest(F.lit(0), total - F.col("done")) * seconds * 1000 / F.col("last"))).cast("long"))
 
 
+def outstanding(sends: DataFrame, answers: DataFrame) -> DataFrame:
+    """host and n: requests of each server that have no answer yet, 0 where all have."""
+    open_ = sends.join(answers.select("callback"), "callback", "left_anti").groupBy("host").agg(F.count("*").alias("n"))
+    return sends.select("host").distinct().join(open_, "host", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def totals(rows: DataFrame, by: str, size: Column, failed: Column, time: str) -> DataFrame:
+    """Per group: files, bytes, failed and elapsed (from the first to the last)."""
+    return rows.groupBy(by).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), F.count_if(failed).alias("failed"), (F.max(time) - F.min(time)).alias("elapsed"))
+
+
 def batches(rows: DataFrame, by: str, order: list[str], size: str, most_bytes: int, most_rows: int) -> DataFrame:
     """Greedy batches in order: a batch is flushed once it holds most_bytes or most_rows.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .routing import in_spans
+
 
 def counts(placement: DataFrame, required: int) -> DataFrame:
     """hash, n and enough: on how many servers each chunk is."""
@@ -20,6 +22,44 @@ def plan(placement: DataFrame, candidates: DataFrame, required: int) -> DataFram
     return free.withColumn("turn", turn).where("turn <= lack").select("hash", "host", "in_span")
 
 
+def plan_copies(placement: DataFrame, keys: DataFrame, servers: DataFrame, required: int) -> DataFrame:
+    """hash, host and in_span of copies to make for chunks on fewer than required servers: first to servers with the chunk in their span, then to others, by name.
+
+    Servers are few: their names are one row, of which a chunk takes only what it lacks.
+    """
+    have = placement.groupBy("hash").agg(F.collect_set("host").alias("have")).withColumn("lack", required - F.size("have")).where("lack > 0")
+    near = in_spans(keys.select("hash", "place"), servers.select("host", "first", "last")).groupBy("hash").agg(F.array_sort(F.collect_set("host")).alias("near"))
+    every = servers.agg(F.array_sort(F.collect_set("host")).alias("every"))
+    j = have.join(keys.select("hash").distinct(), "hash", "left_semi").join(near, "hash", "left").join(F.broadcast(every), F.lit(True))
+    own = F.array_except(F.coalesce("near", F.expr("slice(every, 1, 0)")), "have")
+    others = F.array_except(F.array_except("every", own), "have")
+    marked = lambda hosts, inside: F.transform(hosts, lambda x: F.struct(x.alias("host"), F.lit(inside).alias("in_span")))
+    picked = F.slice(F.concat(marked(own, True), marked(others, False)), 1, F.col("lack"))
+    return j.select("hash", F.explode(picked).alias("s")).select("hash", "s.host", "s.in_span")
+
+
+def heal_page(remote: DataFrame, local: DataFrame, cursors: DataFrame, first: int, last: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The next chunks to heal from each server, and the cursors after them.
+
+    remote: host, hash, place; cursors: host and after (the last hash looked at; null or none: from the start). A page is the next `limit`
+    hashes of a host in the own span; what is held already is looked at, not fetched. A host whose page is not full starts over.
+    """
+    own = remote.where(F.col("place").between(first, last)).select("host", "hash").distinct().join(cursors, "host", "left")
+    own = own.where(F.col("after").isNull() | (F.col("hash") > F.col("after")))
+    page = own.withColumn("_n", F.row_number().over(W.partitionBy("host").orderBy("hash"))).where(F.col("_n") <= limit)
+    ends = page.groupBy("host").agg(F.max("hash").alias("end"), F.count("*").alias("n"))
+    moved = remote.select("host").distinct().join(ends, "host", "left").select("host", F.when(F.col("n") >= limit, F.col("end")).alias("after"))
+    return page.select("host", "hash").join(local.select("hash"), "hash", "left_anti"), moved
+
+
+def delete_everywhere(placement: DataFrame, gone: DataFrame, reachable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """placement after a delete of hashes on all servers, and what is left to retry: copies on servers that were not reachable."""
+    hit = placement.join(gone.select("hash").distinct(), "hash", "left_semi")
+    retry = hit.join(reachable.select("host"), "host", "left_anti").select("hash", "host")
+    kept = placement.join(gone.select("hash").distinct(), "hash", "left_anti").select("hash", "host")
+    return kept.unionByName(retry), retry
+
+
 def heal(remote: DataFrame, local: DataFrame, first: int, last: int) -> DataFrame:
     """Remote hashes in the own target span that are not held here."""
     return remote.where(F.col("place").between(first, last)).select("hash").distinct().join(local.select("hash"), "hash", "left_anti")

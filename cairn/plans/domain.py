@@ -20,8 +20,12 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", name.alias("name"), F.col("source").alias("project"), F.col("lang").alias("user"), text.alias("text"), content_hash(text).alias("hash"))
 
 
-def activity(spark: SparkSession, sf: str) -> DataFrame:
+def activity(spark: SparkSession, sf: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The log; with a range in epoch millis, only what may lie in it is read (the bounds reach the Parquet scan)."""
     e = table(spark, sf, "events")
+    if start is not None:
+        at = lambda ms: F.timestamp_millis(F.lit(ms)).cast(e.schema["ts"].dataType)
+        e = e.where((F.col("ts") >= at(start)) & (F.col("ts") < at(end + 1)))
     action = F.expr("CASE event_type WHEN 'signup' THEN 33 WHEN 'view' THEN 34 WHEN 'error' THEN 65 WHEN 'click' THEN 66 ELSE 50 END")
     hash_ = content_hash(F.col("event_id").cast("string"))
     return e.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), action.alias("action"), "user_id", hash_.alias("hash")).withColumn("place", prefix(F.col("hash")))
@@ -40,6 +44,27 @@ def servers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads: some zipped, some encrypted, some of them published; some are project files."""
+    f, k = files(spark, sf), F.col("doc_id")
+    of = lambda letter: content_hash(F.concat(F.lit(letter), k.cast("string")))
+    step = lambda name, hash_, phrase=None: F.struct(F.lit(name).alias("name"), hash_.alias("hash"), (F.lit(None) if phrase is None else phrase).cast("string").alias("passphrase"))
+    none = F.array().cast("array<struct<name:string,hash:string,passphrase:string>>")
+    encodings = F.concat(
+        F.array(step("None", F.col("hash"))), F.when(k % 2 == 0, F.array(step("GZIP", of("z")))).otherwise(none),
+        F.when(k % 4 == 0, F.array(step("AES", of("a"), F.when(k % 12 == 0, "secret")))).otherwise(none),
+    )
+    length = F.octet_length("text").cast("long")
+    return f.select(
+        "doc_id", "hash", "user", (k % 5).alias("ts"), F.col("project").alias("path"), "name", length.alias("length"), encodings.alias("encodings"),
+        (k % 7 == 0).alias("hidden"), (k % 6 == 0).alias("is_project"),
+        F.when(k % 18 == 0, None).when(k % 18 == 6, "").otherwise(F.concat(F.lit("Set "), (k % 10).cast("string"))).alias("data_set_name"),
+        F.when(k % 4 == 0, F.concat(F.lit("About "), "user")).alias("data_set_description"), (length * 3).alias("data_set_size"), (k % 9).alias("data_set_files"),
+        F.map_from_arrays(F.array(F.lit("name"), F.lit("timestamp"), F.lit("size"), F.lit("public")), F.array(F.col("name"), F.when(k % 3 == 0, "soon").otherwise(k.cast("string")), length.cast("string"), (k % 2 == 0).cast("string"))).alias("properties"),
+        F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: F.concat(F.lit("s"), ((k + i) % 4).cast("string"))).alias("sticky"),
+    )
+
+
 def targets(srv: DataFrame) -> DataFrame:
     return srv.select("host", F.col("tfirst").alias("first"), F.col("tlast").alias("last"))
 
@@ -108,6 +133,10 @@ SQL = {
     "requests": "requests AS (SELECT 'h' || user_id % 20 AS host, event_type AS description, CAST(round(value * 100) AS BIGINT) AS millis, event_id AS seq, ts, epoch_us(ts) // 1000 AS ms FROM events)",
     "versions": "versions AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders)",
     "directories": "directories AS (SELECT 'h' || p_partkey % 40 AS host, '/d' || p_partkey AS directory, 1000 AS size_limit, p_partkey * 7919 % 1000 AS used FROM part)",
+    "metadata": f"""metadata AS (SELECT doc_id, hash, "user", doc_id % 5 AS ts, project AS path, name, octet_length(encode(text)) AS length, doc_id % 4 = 0 AS encrypted, doc_id % 12 = 0 AS published,
+        {h("'z' || doc_id")} AS zip_hash, {h("'a' || doc_id")} AS aes_hash, doc_id % 7 = 0 AS hidden, doc_id % 6 = 0 AS is_project,
+        CASE doc_id % 18 WHEN 0 THEN NULL WHEN 6 THEN '' ELSE 'Set ' || doc_id % 10 END AS data_set_name, CASE WHEN doc_id % 4 = 0 THEN 'About ' || "user" END AS data_set_description,
+        octet_length(encode(text)) * 3 AS data_set_size, doc_id % 9 AS data_set_files FROM files)""",
     "uploaders": "uploaders AS (SELECT hash, \"user\", doc_id % 5 AS ts, project AS path, doc_id FROM files)",
 }
 SQL["files"] = SQL["files"].replace("coalesce(text, chr(0)[1:0])", "coalesce(text, '')")

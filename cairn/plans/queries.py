@@ -13,6 +13,7 @@ from ..operators import activity as A
 from ..operators import catalog as C
 from ..operators import chunks as K
 from ..operators import diagnostics as G
+from ..operators import metadata as M
 from ..operators import replication as R
 from ..operators import routing as T
 from ..operators import spans as P
@@ -80,12 +81,10 @@ def hash_next_prev(spark, sf):
     return f.select("doc_id", H.next_hash(F.col("hash")).alias("next"), H.previous_hash(F.col("hash")).alias("previous"))
 
 
-@query(with_("keys") + f"SELECT hash, row_number() OVER (ORDER BY {key('hash')}) AS n FROM keys ORDER BY n LIMIT 500")
+@query(with_("keys") + f"SELECT hash, row_number() OVER (ORDER BY {key('hash')}) AS n FROM keys")
 def sort_hashes(spark, sf):
-    from pyspark.sql import Window as W
-
-    top = D.chunk_keys(spark, sf).select("hash", H.order_key(F.col("hash")).alias("k")).orderBy("k").limit(500)
-    return top.select("hash", F.row_number().over(W.orderBy("k")).cast("long").alias("n"))
+    k = D.chunk_keys(spark, sf).select("hash", H.order_key(F.col("hash")).alias("k"))
+    return M.numbered(k, [F.col("k")]).select("hash", F.col("n").cast("long").alias("n"))
 
 
 @query(with_("keys") + "SELECT p_partkey, hash FROM keys WHERE starts_with(hash, 'a')")
@@ -255,12 +254,12 @@ _FROM, _TO = 1704500000000, 1705500000000
 
 @query(with_("activity") + f"SELECT event_id, ts, action, hash FROM activity WHERE ts BETWEEN {_FROM} AND {_TO} AND (action & 32) = 32 ORDER BY ts, event_id LIMIT 200")
 def activity_range(spark, sf):
-    return A.read(D.activity(spark, sf), _FROM, _TO, 200, A.SET).select("event_id", "ts", "action", "hash")
+    return A.read(D.activity(spark, sf, _FROM, _TO), _FROM, _TO, 200, A.SET).select("event_id", "ts", "action", "hash")
 
 
 @query(with_("activity") + f"SELECT count(*) AS n FROM activity WHERE ts BETWEEN {_FROM} AND {_TO} AND (action & 64) = 64")
 def activity_count(spark, sf):
-    return A.between(D.activity(spark, sf), _FROM, _TO, A.DELETE).agg(F.count("*").alias("n"))
+    return A.between(D.activity(spark, sf, _FROM, _TO), _FROM, _TO, A.DELETE).agg(F.count("*").alias("n"))
 
 
 @query(with_("activity") + "SELECT m AS mask, count(*) AS n FROM activity, (VALUES (2), (16), (32), (34), (64)) t(m) WHERE m = 16 OR (action & m) = m GROUP BY m")
@@ -300,9 +299,9 @@ def replay_log(spark, sf):
 # Spans
 
 
-@query(with_("servers", "keys") + "SELECT p_partkey, host FROM keys JOIN servers ON place BETWEEN first AND last WHERE suppkey < 10")
+@query(with_("servers", "keys") + "SELECT p_partkey, host FROM keys JOIN servers ON place BETWEEN first AND last")
 def span_contains(spark, sf):
-    srv = D.servers(spark, sf).where("suppkey < 10").select("host", "first", "last")
+    srv = D.servers(spark, sf).select("host", "first", "last")
     return T.in_spans(D.chunk_keys(spark, sf), srv).select("p_partkey", "host")
 
 
@@ -370,7 +369,7 @@ def route_noncore(spark, sf):
 @query(with_("servers", "keys") + "SELECT hash, host, tier, row_number() OVER (PARTITION BY hash ORDER BY tier, outstanding, host) AS rank FROM (SELECT hash, host, outstanding, CASE WHEN NOT place BETWEEN first AND last THEN 3 WHEN is_writable THEN 0 ELSE 1 END AS tier FROM keys, servers WHERE is_online AND is_readable) QUALIFY rank <= 3")
 def route_download(spark, sf):
     s = D.servers(spark, sf)
-    return T.download_sources(D.chunk_keys(spark, sf), s, s.select("host", "first", "last")).where("rank <= 3").withColumn("rank", F.col("rank").cast("long"))
+    return T.download_sources(D.chunk_keys(spark, sf), s, s.select("host", "first", "last"), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(with_("servers", "keys") + "SELECT hash, count(*) AS n FROM keys JOIN servers ON place BETWEEN first AND last WHERE suppkey % 2 = 0 GROUP BY hash")
@@ -483,7 +482,7 @@ def build_project(spark, sf):
 
 @query(with_("files") + "SELECT name, hash FROM files WHERE regexp_matches(lower(name), lower('SRC1[0-9]/.*5[.]txt'))")
 def regex_parts(spark, sf):
-    return D.files(spark, sf).where(F.lower("name").rlike("SRC1[0-9]/.*5[.]txt".lower())).select("name", "hash")
+    return M.matching(D.files(spark, sf), "SRC1[0-9]/.*5[.]txt").select("name", "hash")
 
 
 @query("SELECT source AS title, min(doc_id) AS doc_id, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size, bool_or(doc_id % 13 = 0) AS encrypted, count(*) % 2 = 0 AS hidden, max(lang) AS uploader FROM documents GROUP BY source")
@@ -510,9 +509,7 @@ def project_filter(spark, sf):
 
 @query("WITH " + _SUMMARY + " SELECT title, row_number() OVER (ORDER BY files DESC, lower(title)) AS n FROM s")
 def project_sort(spark, sf):
-    from pyspark.sql import Window as W
-
-    return project_summary(spark, sf).select("title", F.row_number().over(W.orderBy(F.desc("files"), F.lower("title"))).cast("long").alias("n"))
+    return M.numbered(project_summary(spark, sf), [F.desc("files"), F.lower("title")]).select("title", F.col("n").cast("long").alias("n"))
 
 
 @query(with_("servers") + "SELECT host, grp FROM servers WHERE regexp_matches(lower(host), '0[0-4]$')")
@@ -520,9 +517,9 @@ def server_filter(spark, sf):
     return D.servers(spark, sf).where(F.lower("host").rlike("0[0-4]$")).select("host", "grp")
 
 
-@query(with_("servers") + "SELECT host, capacity FROM servers ORDER BY capacity DESC, host LIMIT 25")
+@query(with_("servers") + "SELECT host, capacity, row_number() OVER (ORDER BY capacity DESC, host) AS n FROM servers")
 def server_sort(spark, sf):
-    return D.servers(spark, sf).orderBy(F.desc("capacity"), "host").limit(25).select("host", "capacity")
+    return M.numbered(D.servers(spark, sf), [F.desc("capacity"), F.col("host")]).select("host", "capacity", F.col("n").cast("long").alias("n"))
 
 
 @query(with_("servers") + "SELECT host, CAST(floor(CAST(capacity AS DOUBLE) / (SELECT sum(capacity) FROM servers) * 1000000) AS BIGINT) AS ppm FROM servers")
@@ -582,9 +579,9 @@ def publish_passphrase(spark, sf):
     return table(spark, sf, "labels").select("doc_id", F.filter(new, lambda e: e["name"] == "AES")[0]["passphrase"].alias("passphrase"))
 
 
-@query("SELECT d.doc_id, lang, quality FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id % 2 = 0")
+@query("SELECT d.doc_id, lang, quality FROM documents d JOIN labels l USING (doc_id)")
 def csv_lookup(spark, sf):
-    chosen = table(spark, sf, "labels").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("key"), "quality")
+    chosen = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"), "quality")
     d = table(spark, sf, "documents").select("doc_id", "lang")
     return d.join(chosen.withColumn("doc_id", F.expr("try_cast(key AS bigint)")), "doc_id").select("doc_id", "lang", "quality")
 
@@ -607,13 +604,11 @@ def hash_bag(spark, sf):
     return f.select("hash").unionByName(f.where("doc_id % 2 = 0").select("hash")).groupBy("hash").agg(F.count("*").alias("n"))
 
 
-@query(with_("files") + "SELECT name, row_number() OVER (ORDER BY name, k) AS n FROM (SELECT name, 0 AS k FROM files WHERE doc_id < 200 UNION ALL SELECT name, 1 FROM files WHERE doc_id < 100)")
+@query(with_("files") + "SELECT name, row_number() OVER (ORDER BY name, k) AS n FROM (SELECT name, 0 AS k FROM files UNION ALL SELECT name, 1 FROM files WHERE doc_id % 2 = 0)")
 def part_bag(spark, sf):
-    from pyspark.sql import Window as W
-
     f = D.files(spark, sf)
-    bag = f.where("doc_id < 200").select("name", F.lit(0).alias("k")).unionByName(f.where("doc_id < 100").select("name", F.lit(1).alias("k")))
-    return bag.select("name", F.row_number().over(W.orderBy("name", "k")).cast("long").alias("n"))
+    bag = f.select("name", F.lit(0).alias("k")).unionByName(f.where("doc_id % 2 = 0").select("name", F.lit(1).alias("k")))
+    return M.numbered(bag, [F.col("name"), F.col("k")]).select("name", F.col("n").cast("long").alias("n"))
 
 
 @query(with_("files") + "SELECT name, hash, row_number() OVER (PARTITION BY project ORDER BY name) AS n FROM files")
@@ -643,12 +638,9 @@ def replication_count(spark, sf):
     return R.counts(D.placement(spark, sf), 25)
 
 
-@query(with_("servers", "keys", "placement") + "SELECT hash, host, in_span FROM (SELECT c.hash, c.host, c.in_span, 25 - n AS lack, row_number() OVER (PARTITION BY c.hash ORDER BY c.in_span DESC, c.host) AS turn FROM (SELECT hash, host, place BETWEEN first AND last AS in_span FROM keys, servers WHERE suppkey < 40) c JOIN (SELECT hash, count(DISTINCT host) AS n FROM placement GROUP BY hash HAVING count(DISTINCT host) < 25) s ON c.hash = s.hash WHERE (c.hash, c.host) NOT IN (SELECT hash, host FROM placement)) WHERE turn <= lack")
+@query(with_("servers", "keys", "placement") + "SELECT hash, host, in_span FROM (SELECT c.hash, c.host, c.in_span, 25 - n AS lack, row_number() OVER (PARTITION BY c.hash ORDER BY c.in_span DESC, c.host) AS turn FROM (SELECT hash, host, place BETWEEN first AND last AS in_span FROM keys, servers) c JOIN (SELECT hash, count(DISTINCT host) AS n FROM placement GROUP BY hash HAVING count(DISTINCT host) < 25) s ON c.hash = s.hash WHERE (c.hash, c.host) NOT IN (SELECT hash, host FROM placement)) WHERE turn <= lack")
 def replication_plan(spark, sf):
-    srv = D.servers(spark, sf).where("suppkey < 40").select("host", "first", "last")
-    every = D.chunk_keys(spark, sf).join(F.broadcast(srv.agg(F.collect_list(F.struct("host", "first", "last")).alias("s"))), F.lit(True))
-    cand = every.select("hash", "place", F.explode("s").alias("s")).select("hash", "s.host", F.col("place").between(F.col("s.first"), F.col("s.last")).alias("in_span"))
-    return R.plan(D.placement(spark, sf), cand, 25)
+    return R.plan_copies(D.placement(spark, sf), D.chunk_keys(spark, sf), D.servers(spark, sf), 25)
 
 
 @query(with_("keys", "placement") + "SELECT DISTINCT hash FROM placement WHERE host = 'Supplier#000000003' AND place BETWEEN 40 AND 200 AND hash NOT IN (SELECT hash FROM placement WHERE host = 'Supplier#000000004')")
@@ -729,7 +721,7 @@ def activity_share(spark, sf):
 
 @query(with_("requests") + "SELECT host, count(*) AS files, CAST(sum(millis) AS BIGINT) AS bytes, count(*) FILTER (WHERE description = 'error') AS failed, max(ms) - min(ms) AS elapsed FROM requests GROUP BY host")
 def report_totals(spark, sf):
-    return D.requests(spark, sf).groupBy("host").agg(F.count("*").alias("files"), F.sum("millis").alias("bytes"), F.count_if(F.col("description") == "error").alias("failed"), (F.max("ms") - F.min("ms")).alias("elapsed"))
+    return G.totals(D.requests(spark, sf), "host", F.col("millis"), F.col("description") == "error", "ms")
 
 
 @query(with_("requests") + "SELECT seq AS callback, host, description || CASE WHEN seq % 9 <> 0 THEN ' (up)' ELSE ' (down)' END AS description, millis FROM requests WHERE seq % 4 <> 0")
@@ -754,11 +746,7 @@ def eta_contextual(spark, sf):
 
 @query(with_("servers") + "SELECT host, (row_number() OVER (ORDER BY CASE WHEN host > 'Supplier#000000050' THEN 0 ELSE 1 END, host) - 1) // 3 AS grp_no FROM servers WHERE host <> 'Supplier#000000050'")
 def status_groups(spark, sf):
-    from pyspark.sql import Window as W
-
-    s = D.servers(spark, sf).where("host <> 'Supplier#000000050'")
-    turn = F.row_number().over(W.orderBy(F.when(F.col("host") > "Supplier#000000050", 0).otherwise(1), "host"))
-    return s.select("host", F.floor((turn - 1) / 3).cast("long").alias("grp_no"))
+    return C.ring_groups(D.servers(spark, sf).select("host"), "Supplier#000000050", 3)
 
 
 _FOLD = """, o AS (SELECT host, millis, row_number() OVER (PARTITION BY host ORDER BY ms, seq) AS i FROM requests),
@@ -785,11 +773,11 @@ def conversation_text(spark, sf):
 # Sources and streams
 
 
-@query("SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 = 0".replace("text, lang", "lang, 'say \"hi\", ' || source AS note"))
+@query("SELECT doc_id, lang, 'say \"hi\", ' || source AS note FROM documents")
 def csv_roundtrip(spark, sf):
     path = new_folder(spark)
     note = F.concat(F.lit('say "hi", '), "source")
-    X.write_csv(table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", note.alias("note")), path)
+    X.write_csv(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", note.alias("note")), path)
     return X.read_csv(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "note")
 
 
@@ -801,11 +789,14 @@ def stream_activity(spark, sf):
     return Y.collected(Y.activities(Y.feed(spark, f"{path}/in", log.schema), A.DELETE), f"{path}/out", f"{path}/state")
 
 
-@query(with_("servers") + ", " + _ROWS + " SELECT host, flags, update_ts FROM rows QUALIFY row_number() OVER (PARTITION BY host ORDER BY update_ts DESC, seq DESC) = 1")
+@query(with_("servers") + ", " + _ROWS + " SELECT host, flags, update_ts, max(response_ts) OVER (PARTITION BY host) AS response_ts, bool_and(online) OVER (PARTITION BY host) AS online FROM rows QUALIFY row_number() OVER (PARTITION BY host ORDER BY update_ts DESC, seq DESC) = 1")
 def stream_status(spark, sf):
     path = new_folder(spark)
     rows = _status_rows(spark, sf)
     rows.repartition(3).write.parquet(f"{path}/in")
     run = Y.last_status(Y.feed(spark, f"{path}/in", rows.schema, max_files=1), f"{path}/out", f"{path}/state")
     run.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out/{run.lastProgress['batchId']}").select("host", "flags", "update_ts")
+    return spark.read.schema(rows.schema).parquet(f"{path}/out/{run.lastProgress['batchId']}").select("host", "flags", "update_ts", "response_ts", "online")
+
+
+from . import metadata as _metadata  # noqa: E402, F401  registers its queries here

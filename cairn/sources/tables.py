@@ -24,6 +24,26 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**options).schema(schema).csv(path, header=not row["hashed"], enforceSchema=True)
 
 
+def download_list(rows: DataFrame) -> DataFrame:
+    """hash, passphrase, pattern and folder of each row of a CSV that names data sets.
+
+    Columns are found by what their names contain (pass, hash, regex, subdir, in this order; of several the last). Rows whose cell is no
+    hash are left out; without a hash column this is an error.
+    """
+    found: dict[str, str] = {}
+    for c in rows.columns:
+        for part in ("pass", "hash", "regex", "subdir"):
+            if part in c.lower():
+                found[part] = c
+                break
+    if "hash" not in found:
+        raise ValueError("no hash column")
+    cell = lambda part: F.nullif(F.trim(F.col(f"`{found[part]}`")), F.lit("")) if part in found else F.lit(None).cast("string")
+    bare = F.trim(F.regexp_replace(F.col(f"`{found['hash']}`"), "^[\"']|[\"']$", ""))
+    out = rows.select(parse_hash(bare).alias("hash"), cell("pass").alias("passphrase"), cell("regex").alias("pattern"), cell("subdir").alias("folder"))
+    return out.where("hash IS NOT NULL")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("escape", '"').option("header", True).csv(path)
 
@@ -34,8 +54,12 @@ _NUMBERS = {"size": "SIZE", "files": "FILES", "uploaded": "DATE"}
 
 
 def read_project_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Project summaries from text: records between lines of -----, a labelled value on each line."""
-    records = spark.read.option("lineSep", "-----").text(path).where(F.col("value").contains("HASH: "))
+    """Project summaries from text: records between lines that begin with ----- or PROJECT, a labelled value on each line.
+
+    A cache file is one summary of all projects, read whole.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    records = whole.select(F.explode(F.split("value", r"(?m)^(?:-----|PROJECT).*$")).alias("value")).where(F.col("value").contains("HASH: "))
     value = lambda label: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{label}: (.*)$", 1)), F.lit(""))
     crypt = F.lower(F.coalesce(value("ENCRYPTED"), F.lit("")))
     return records.select(
@@ -44,4 +68,5 @@ def read_project_cache(spark: SparkSession, path: str) -> DataFrame:
         (crypt.contains("true") | crypt.contains("published")).alias("encrypted"),
         crypt.contains("published").alias("published"),
         F.lower(F.coalesce(value("DELETED"), F.lit(""))).contains("true").alias("hidden"),
+        F.lower(F.coalesce(value("SHARE"), F.lit(""))).contains("true").alias("share"),
     ).withColumns({"title": F.coalesce("title", F.lit("?")), "description": F.coalesce(F.replace("description", F.lit("\\n"), F.lit("\n")), F.lit(""))})

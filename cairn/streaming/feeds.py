@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mask_matches
-from ..operators.catalog import latest
+from ..operators.catalog import status_upsert
 
 
 def feed(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -22,12 +22,15 @@ def activities(entries: DataFrame, mask: int) -> DataFrame:
 
 
 def last_status(stream: DataFrame, path: str, checkpoint: str):
-    """Keeps a table of each host's last row: every micro-batch is merged into the table of the one before."""
+    """Keeps a table of each host's status: every micro-batch is merged into the table of the one before, by the rules of status_upsert.
+
+    The table has a row for each server, and each batch's is a new folder, so a batch that is repeated writes the same again.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         old = spark.read.schema(batch.schema).parquet(f"{path}/{batch_id - 1}") if batch_id else batch.limit(0)
-        latest(old.unionByName(batch), ["host"], [F.desc("update_ts"), F.desc("seq")]).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        status_upsert(old.unionByName(batch), keep_seq=True).write.mode("overwrite").parquet(f"{path}/{batch_id}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -88,3 +88,23 @@ def test_extremes_first_wins_and_batches(spark):
     items = spark.createDataFrame([("h", i, s) for i, s in enumerate([60, 60, 10, 10, 200, 1])], "host string, seq long, size long")
     got = sorted((r.batch, r.n, r.bytes) for r in G.batches(items, "host", ["seq"], "size", 100, 3).collect())
     assert got == [(0, 2, 120), (1, 3, 220), (2, 1, 1)]
+
+
+def test_ipv6(spark):
+    cases = {"2001:db8::1": "20010db8000000000000000000000001", "::": "0" * 32, "1:2:3:4:5:6:7:8": "00010002000300040005000600070008", "fe80::1:": None, "1:2:3": None, "::g": None, "1.2.3.4": None}
+    for text, want in cases.items():
+        assert one(spark, S.ipv6_hex(F.lit(text)))[0] == want
+    assert one(spark, S.ipv6_text(S.ipv6_hex(F.lit("2001:DB8::1"))))[0] == "2001:db8:0:0:0:0:0:1"
+
+
+def test_tags(spark):
+    from cairn.operators import access
+
+    back = access.tag_values(access.tag_text(F.create_map(F.lit("b"), F.lit("x\ny"), F.lit("a"), F.lit("1: 2"))))
+    assert one(spark, back)[0] == {"a": "1: 2", "b": "x\ny"}
+    assert one(spark, access.tag_values(F.lit("no tag\nk: 1\nk: 2")))[0] == {"k": "2"}
+
+
+def test_file_kinds(spark):
+    for name, kind in {"a.csv": "spreadsheet", "A.XML": "html", "b.tar.gz": "archive", "c.gz": "other", "d.rtf": "text", "e.ppt": "presentation"}.items():
+        assert one(spark, S.file_kind(F.lit(name)))[0] == kind

@@ -120,3 +120,29 @@ def test_interval_join_with_and_without_broadcast(spark, monkeypatch):
     small = sorted(map(tuple, T.in_spans(chunks, s).select("hash", "host").collect()))
     monkeypatch.setattr(T, "MAX_SPANS", 1)
     assert sorted(map(tuple, T.in_spans(chunks, s).select("hash", "host").collect())) == small and len(small) == 261
+
+
+def test_metadata_without_encodings(spark):
+    from cairn.operators import metadata as M
+
+    df = spark.sql("SELECT array() AS x").select(F.col("x").cast("array<struct<name:string,hash:string,passphrase:string>>").alias("e")).unionByName(spark.sql("SELECT cast(null AS array<struct<name:string,hash:string,passphrase:string>>) AS e"))
+    for r in df.select(M.data_hash(F.col("e")).alias("a"), M.stored_hash(F.col("e")).alias("b")).collect():
+        assert tuple(r) == (None, None)
+
+
+def test_numbered_is_dense(spark):
+    from cairn.operators import metadata as M
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
+    got = [(r.k, r.n) for r in M.numbered(df.repartition(5), [F.desc("k")]).collect()]
+    assert sorted(got, reverse=True) == [(k, n + 1) for n, k in enumerate(sorted((i * 7919 % 5003 for i in range(5000)), reverse=True))]
+    assert M.numbered(df.limit(0), [F.col("k")]).count() == 0
+
+
+def test_download_sources_named_only(spark):
+    servers = spark.createDataFrame([("a", True, True, True, 3, 0, 9), ("b", True, True, False, 1, 0, 255), ("c", False, True, True, 0, 0, 255), ("x", False, False, False, 7, 0, 0)], "host string, is_online boolean, is_readable boolean, is_writable boolean, outstanding long, first int, last int")
+    chunks = spark.createDataFrame([("h", 50)], "hash string, place int")
+    pick = lambda **k: [(r.host, r.tier) for r in T.download_sources(chunks, servers, servers.select("host", "first", "last"), **k).orderBy("rank").collect()]
+    assert pick() == [("b", 1), ("a", 3)] and pick(wanted=1) == [("b", 1)]
+    assert pick(preferred=["a"], external=["x"]) == [("a", 0), ("b", 1), ("x", 2)]
+    assert pick(preferred=["a"], unspecified=False) == [("a", 0)]

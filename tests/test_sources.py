@@ -72,3 +72,17 @@ def test_stream_join(spark, tmp_path):
     a.write.parquet(str(tmp_path / "a"))
     j = Y.latencies(Y.feed(spark, str(tmp_path / "s"), s.schema), Y.feed(spark, str(tmp_path / "a"), a.schema))
     assert sorted(map(tuple, Y.collected(j, str(tmp_path / "o"), str(tmp_path / "ck")).collect())) == [(0, "h", 2000), (1, "h", 2000)]
+
+
+def test_project_cache_delimiters(spark, tmp_path):
+    (tmp_path / "cache").write_text("PROJECT 1\nHASH: a\nTITLE: one\nSHARE: true\nPROJECT 2\nHASH: b\nTITLE: two\n-----\nHASH: c\nDESC: PROJECT within\n")
+    got = sorted(tuple(r) for r in X.read_project_cache(spark, str(tmp_path / "cache")).select("hash", "title", "description", "share").collect())
+    assert got == [("a", "one", "", True), ("b", "two", "", False), ("c", "?", "PROJECT within", False)]
+
+
+def test_download_list(spark, tmp_path):
+    good = "ab" * 76
+    df = spark.createDataFrame([(f"'{good}'", "p", ""), ("none", "q", "x")], ["My HASH", "pass word", "a Regex"])
+    assert [tuple(r) for r in X.download_list(df).collect()] == [(good, "p", None, None)]
+    with pytest.raises(ValueError):
+        X.download_list(df.drop("My HASH"))
