@@ -93,14 +93,17 @@ def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dic
 
 
 def _before(df: DataFrame, slices: Column, value: str, order: list) -> DataFrame:
-    """df with `before`: the sum of value over the rows of the same source that come before, in two levels."""
-    df = df.withColumn("slice", slices)
-    sums = df.groupBy("source", "slice").agg(F.sum(value).alias("s"))
-    offsets = sums.select("source", "slice", (F.sum("s").over(W.partitionBy("source").orderBy("slice")) - F.col("s")).alias("offset"))
-    own = F.sum(value).over(W.partitionBy("source", "slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
-    left, right = df.withColumn("own", own).alias("a"), offsets.alias("b")
-    on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.slice") == F.col("b.slice"))
-    return left.join(right, on).select("a.*", (F.col("a.own") + F.col("b.offset")).alias("before"))
+    """df with `before`: the sum of value over the rows of the same source that come before, in two levels.
+
+    A null source is told apart by a flag, so that the window and the join share one shuffle.
+    """
+    df = df.withColumns({"slice": slices, "none": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
+    group = ["none", "name"]
+    sums = df.groupBy(*group, "slice").agg(F.sum(value).alias("s"))
+    offsets = sums.select(*group, "slice", (F.sum("s").over(W.partitionBy(*group).orderBy("slice")) - F.col("s")).alias("offset"))
+    own = F.sum(value).over(W.partitionBy(*group, "slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
+    out = df.withColumn("own", own).join(offsets, [*group, "slice"])
+    return out.withColumn("before", F.col("own") + F.col("offset")).drop("own", "offset", *group)
 
 
 def _written(spark: SparkSession, laid: Iterator[tuple[str | None, int, int]], last: dict[str | None, int]) -> tuple[DataFrame, list[int]]:
