@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +33,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written Parquet table: its lineage ends here, lost executors lose nothing of it."""
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("_MADE", default=())
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, but for those written with keep: what leaves must be one of these."""
+    token = _MADE.set((*_MADE.get(), made := []))
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a written Parquet table: its lineage ends here, lost executors lose nothing of it.
+
+    keep: it outlives the innermost tidy() (but not the one around that).
+    """
     path = f"{scratch_dir(df.sparkSession)}-{name}"
+    stack = _MADE.get()[: -1 if keep else None]
+    if stack:
+        stack[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

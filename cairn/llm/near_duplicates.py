@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, exact_ids, mix64, runs, slices, texts, written
+from .common import LOWER, exact_ids, mix64, runs, slices, texts, tidy, written
 from .components import components
 
 SHINGLE = 5
@@ -258,15 +258,23 @@ def _compared(units: DataFrame, text: DataFrame, how) -> DataFrame:
 def near_duplicate_links(
     docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, band_rows: int = BAND_ROWS, row: str | None = None
 ):
-    """(signed table, links): near duplicates among different texts, named by row, that connect all classes."""
+    """(signed table, links): near duplicates among different texts, named by row, that connect all classes. With row, docs should be a written table."""
     key = [F.col(row).cast("long").alias("row")] if row else []
     schema = "row long, doc_id long, missing boolean, digest binary, size long, bands array<long>, text string"
-    signed = written(exact_ids(texts(docs, *key)).mapInPandas(_signed(size, registers, band_rows), schema), "signed")
+    signed = exact_ids(texts(docs, *key)).mapInPandas(_signed(size, registers, band_rows), schema)
+    # Texts stay in the signed table where only that numbers the rows.
+    signed = written(signed.drop("text") if row else signed, "signed")
+    with tidy(docs.sparkSession):
+        text = texts(docs, *key).select("row", "text") if row else signed.select("row", "text")
+        return signed.drop("text"), written(_links(signed, text, size, similarity), "links", keep=True)
+
+
+def _links(signed: DataFrame, texts_: DataFrame, size: int, similarity: float) -> DataFrame:
     reps = signed.where("size > 0").groupBy("digest").agg(F.min("row").alias("row")).select("row")
     met = signed.select("row", "size", "bands").join(reps, "row", "left_semi").select("row", "size", F.explode("bands").alias("band"))
     first = met.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = written(met.join(first, "band"), "met")
-    text = written(signed.select("row", "text").join(met.select("row").distinct().hint("merge"), "row", "left_semi"), "candidates")
+    text = written(texts_.join(met.select("row").distinct().hint("merge"), "row", "left_semi"), "candidates")
 
     # Stars: each row with the leaders of most of its bands.
     shared = met.where("first < row").groupBy("row", "first").agg(F.count("*").alias("n"), F.first("size").alias("size"))
@@ -300,7 +308,7 @@ def near_duplicate_links(
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda k: (F.col("side") < 0) | (k < F.col("before")) | (k >= F.col("before") + F.col("parts")))
     meets = dealt.withColumn("other", F.explode(others))
     meets = meets.select("row", "size", "z", F.least("block", "other").cast("long").alias("x"), F.greatest("block", "other").cast("long").alias("y"))
-    return signed, near.unionByName(_compared(meets, text, _with_all(size, similarity)))
+    return near.unionByName(_compared(meets, text, _with_all(size, similarity)))
 
 
 def near_duplicates(
