@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import keyed, scratch_dir
+from cairn.llm.common import keyed, scratch_dir, tidy, written
 from cairn.llm.decontamination import benchmark_hits
 from cairn.llm.mixing import mixing
 from cairn.llm.near_duplicates import near_duplicates
@@ -30,24 +30,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest doc_id (rows without one come last)."""
-    rows, key = keyed(docs)
-    first = near_duplicates(rows, row=key).where("first").select(F.col("row").alias(key))
-    return rows.join(first, key, "left_semi").select(docs.columns)
+    with tidy(spark):  # the stage's own tables go, its result stays
+        rows, key = keyed(docs)
+        first = near_duplicates(rows, row=key).where("first").select(F.col("row").alias(key))
+        return written(rows.join(first, key, "left_semi").select(docs.columns), "stage", keep=True)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that also start earlier; n_chars follows."""
-    rows, key = keyed(docs)
-    cut = suffix_dedup(rows, with_text=True, row=key).select(F.col("row").alias(key), F.col("kept_text").alias("text"))
-    new = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return rows.drop("text", "n_chars").join(cut, key).withColumns(new).select(docs.columns)
+    with tidy(spark):
+        rows, key = keyed(docs)
+        cut = suffix_dedup(rows, with_text=True, row=key).select(F.col("row").alias(key), F.col("kept_text").alias("text"))
+        new = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+        return written(rows.drop("text", "n_chars").join(cut, key).withColumns(new).select(docs.columns), "stage", keep=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of a benchmark window."""
-    rows, key = keyed(docs)
-    hits = benchmark_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=key)
-    return rows.join(hits.where(F.size("hits") > 0).select(F.col("row").alias(key)), key, "left_anti").select(docs.columns)
+    with tidy(spark):
+        rows, key = keyed(docs)
+        hits = benchmark_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=key)
+        return written(rows.join(hits.where(F.size("hits") > 0).select(F.col("row").alias(key)), key, "left_anti").select(docs.columns), "stage", keep=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
