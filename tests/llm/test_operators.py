@@ -86,6 +86,14 @@ def test_quality_cascade_prefers_cheap_rejections(spark, docs):
     assert [r.name for r in quality_rules.measured_order(docs, [idle, free])] == ["all", "none"]
 
 
+def test_quality_cascade_counts_what_is_left():
+    """A rule that rejects much, but only what another rejects too, comes after one that rejects others."""
+    outcomes = [((True, True, False), 50), ((True, False, False), 10), ((False, False, True), 5), ((False, False, False), 35)]
+    assert quality_rules.cascade(outcomes, [1.0, 1.0, 1.0]) == [0, 2, 1]
+    assert quality_rules.cascade(outcomes, [10.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality_rules.cascade([], [2.0, 1.0]) == [1, 0] and quality_rules.cascade(outcomes, []) == []
+
+
 # 2 suffix dedup
 
 
