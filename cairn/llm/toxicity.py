@@ -31,6 +31,7 @@ from .common import slices, texts, written
 
 LABELLED_ROWS = 20_000  # bound of the labelled sample for word counts
 FIELD_ROWS = 3_000  # bound of the labelled sample for the field and the logistic function
+FIELD_CHARS = 64 << 20  # and of its texts together (one text of each class is taken whatever its length)
 FEATURES = 1 << 18
 TRAIN_CUT = 256  # tokens per training chain; scoring chains are whole texts
 STEPS = 60
@@ -195,7 +196,7 @@ def toxic_words(labelled: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in found.select("word").collect()]
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, field_rows: int = FIELD_ROWS, seed: int = 5) -> Field:
+def fit_field(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, field_rows: int = FIELD_ROWS, seed: int = 5, field_chars: int = FIELD_CHARS) -> Field:
     """The field learned from labels (doc_id, toxic) and their texts, on bounded samples."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -205,7 +206,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_
     if not lexicon:
         return Field()
     known = frozenset(lexicon)
-    part = labelled.withColumn("side", F.row_number().over(_by_side(seed))).where(F.col("side") <= field_rows // 2)
+    side, chars = F.row_number().over(_by_side(seed)), F.sum(F.length("text")).over(_by_side(seed))
+    part = labelled.withColumns({"side": side, "chars": chars}).where((F.col("side") <= field_rows // 2) & ((F.col("chars") <= field_chars // 2) | (F.col("side") == 1)))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
@@ -224,7 +226,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_
 def _by_side(seed: int):
     from pyspark.sql import Window
 
-    return Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"))
+    return Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def toxicity(docs: DataFrame, field: Field, spans: bool = False) -> DataFrame:

@@ -314,6 +314,44 @@ def test_toxicity_edges(spark, odd, none):
     assert len({r.score for r in empty}) == 1 and empty[0].score < 0.5
 
 
+def test_toxic_words_and_scores_by_brute_force(spark):
+    """The lexicon by plain counts; scores from enumerated marginals; the fit lowers its own loss; bounds of the sample hold."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"word{i}" for i in range(40)]
+    data = []
+    for i in range(300):
+        bad = i % 5 == 0
+        w = list(rng.choice(vocabulary, 8)) + (["vile"] if bad or i % 97 == 1 else []) + (["nasty"] if bad and i % 2 else [])
+        data.append((i, " ".join(rng.permutation(w)), int(bad)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    counts = collections.defaultdict(lambda: [0, 0])
+    for _, t, y in data:
+        for w in set(t.split()):
+            counts[w][y] += 1
+    p, want = sum(y for *_, y in data) / len(data), []
+    for w, (c, k) in counts.items():
+        n, q = c + k, k / (c + k)
+        gain = n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if c else 0)) if k else 0
+        if k >= 3 and q > 0.5 and gain > math.log(len(counts)) + 2.3:
+            want.append(w.encode())
+    assert sorted(toxicity.toxic_words(df)) == sorted(want) == [b"nasty", b"vile"]
+    labels = df.select("doc_id", "toxic")
+    field = toxicity.fit_field(df, labels)
+    for i, t, _ in data[:12]:
+        words_ = toxicity.tokens(t)
+        e, a = np.exp(field.emissions(words_)), np.exp(field.transitions)
+        total, mass = 0.0, np.zeros(len(words_))
+        for s in np.ndindex(*[2] * len(words_)):
+            x = np.prod(np.where(s, e, 1.0)) * np.prod([a[s[k], s[k + 1]] for k in range(len(words_) - 1)])
+            total, mass = total + x, mass + x * np.array(s)
+        m = mass / total
+        z = field.score @ [1, m.max(), math.log1p(m.sum())]
+        got = toxicity.toxicity(df.where(F.col("doc_id") == i), field).first().score
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-6
+    few = toxicity.fit_field(df, labels, field_chars=200)
+    assert np.isfinite(few.score).all() and toxicity.toxicity(df, few).where("score < 0 OR score > 1").count() == 0
+
+
 def test_field_marginals_match_enumeration():
     rng = np.random.default_rng(5)
     e, a = np.exp(rng.normal(size=6)), np.exp(rng.normal(size=(2, 2)))
