@@ -72,30 +72,31 @@ def totals(rows: DataFrame, by: str, size: Column, failed: Column, time: str) ->
     return rows.groupBy(by).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), F.count_if(failed).alias("failed"), (F.max(time) - F.min(time)).alias("elapsed"))
 
 
-def batches(rows: DataFrame, by: str, order: list[str], size: str, most_bytes: int, most_rows: int) -> DataFrame:
-    """Greedy batches in order: a batch is flushed once it holds most_bytes or most_rows.
+def batches(rows: DataFrame, by: str, order: list[str], size: str, most_bytes: int, most_rows: int, time: str | None = None, most_ms: int = 0) -> DataFrame:
+    """Greedy batches in order: a batch is flushed once it holds most_bytes or most_rows, or (with time, in millis) its rows span most_ms.
 
     A group's rows pass one task in order; only the open batch is held, and one row leaves for each finished one.
     """
-    own = rows.select(by, *order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.col(size).isNull().alias("_null"))
-    dealt = own.repartition(by).sortWithinPartitions(by, *order).select(by, "_size", "_null")
+    own = rows.select(by, *order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.col(size).isNull().alias("_null"), (F.col(time) if time else F.lit(0)).cast("long").alias("_ms"))
+    dealt = own.repartition(by).sortWithinPartitions(by, *order).select(by, "_size", "_null", F.coalesce("_ms", F.lit(0)).alias("_ms"))
     kind = own.schema[by].dataType.simpleString()
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A missing size makes the open batch's bytes unknown, so that only its rows can end it; known sizes are summed.
-        host, batch, n, total, known, unknown, started = None, 0, 0, 0, 0, False, False
+        host, batch, n, total, known, unknown, started, begin, last = None, 0, 0, 0, 0, False, False, 0, 0
         columns = [by, "batch", "n", "bytes"]
         for pdf in parts:
             out = []
             hosts = pdf[by].astype(object).where(pdf[by].notna(), None)
-            for h, x, null in zip(hosts, pdf["_size"].tolist(), pdf["_null"].tolist(), strict=True):
+            for h, x, null, ms in zip(hosts, pdf["_size"].tolist(), pdf["_null"].tolist(), pdf["_ms"].tolist(), strict=True):
                 if not started or h != host:
                     if started:
                         out.append((host, batch, n, total if known else None))
-                    host, batch, n, total, known, unknown, started = h, 0, 0, 0, 0, False, True
-                elif n >= most_rows or (not unknown and total >= most_bytes):
+                    host, batch, n, total, known, unknown, started, begin = h, 0, 0, 0, 0, False, True, ms
+                elif n >= most_rows or (not unknown and total >= most_bytes) or (time is not None and last - begin >= most_ms):
                     out.append((host, batch, n, total if known else None))
-                    batch, n, total, known, unknown = batch + 1, 0, 0, 0, False
+                    batch, n, total, known, unknown, begin = batch + 1, 0, 0, 0, False, ms
+                last = ms
                 n, total, known, unknown = n + 1, total + x, known + (not null), unknown or null
             yield pd.DataFrame(out, columns=columns).astype({"bytes": "Int64"})
         if started:

@@ -291,6 +291,17 @@ def replay_adds(spark, sf):
     return A.replay_adds(log, 0, 4102444800000, log.where("event_id % 2 = 0").select("hash"), 64, 191, users, log.where("event_id % 5 <> 0").select("hash"))
 
 
+@query(
+    with_("requests") + """, o AS (SELECT host, millis, ms, row_number() OVER (PARTITION BY host ORDER BY ms, seq) AS i FROM requests),
+    f(host, i, batch, bytes, first, last) AS (SELECT host, i, 0, millis, ms, ms FROM o WHERE i = 1 UNION ALL SELECT o.host, o.i, CASE WHEN x THEN batch + 1 ELSE batch END, CASE WHEN x THEN millis ELSE bytes + millis END, CASE WHEN x THEN o.ms ELSE first END, o.ms
+      FROM (SELECT *, bytes >= 1048576 OR last - first >= 3600000 AS x FROM f) f JOIN o ON o.host = f.host AND o.i = f.i + 1)
+    SELECT host, batch, count(*) AS n, CAST(sum(millis) AS BIGINT) AS bytes FROM f JOIN o USING (host, i) GROUP BY ALL"""
+)
+def log_flushes(spark, sf):
+    r = D.requests(spark, sf).withColumnRenamed("millis", "size")
+    return G.batches(r, "host", ["ms", "seq"], "size", 1 << 20, 1 << 62, "ms", 3600000)
+
+
 _PAGED = """p AS (SELECT DISTINCT host, hash FROM placement WHERE place BETWEEN 40 AND 200), c AS (SELECT host, hash, row_number() OVER (PARTITION BY host ORDER BY hash) AS n, hash NOT IN (SELECT hash FROM placement WHERE host = 'Supplier#000000004') AS lacking FROM p)"""
 
 
