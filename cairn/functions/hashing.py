@@ -63,12 +63,21 @@ def hash_add(hash_hex: pd.Series, step: pd.Series) -> pd.Series:
     return pd.Series([None if h is None or s is None else f"{(int(h, 16) + int(s)) % top:0{2 * SIZE}x}" for h, s in zip(hash_hex, step, strict=True)])
 
 
+def _carried(hash_hex: Column, full: str, empty: str, digits: str, moved: str) -> Column:
+    """The digits at the end that carry change over, and the one before them moves by one; a hash of nothing else wraps round."""
+    head = F.rtrim(hash_hex, F.lit(full))
+    n = F.length(head)
+    return F.when(n == 0, F.repeat(F.lit(empty), F.length(hash_hex))).otherwise(
+        F.concat(F.substring(head, F.lit(1), n - 1), F.translate(F.substring(head, n, F.lit(1)), digits, moved), F.repeat(F.lit(empty), F.length(hash_hex) - n))
+    )
+
+
 def next_hash(hash_hex: Column) -> Column:
-    return hash_add(hash_hex, F.lit(1))
+    return _carried(hash_hex, "f", "0", "0123456789abcde", "123456789abcdef")
 
 
 def previous_hash(hash_hex: Column) -> Column:
-    return hash_add(hash_hex, F.lit(-1))
+    return _carried(hash_hex, "0", "f", "123456789abcdef", "0123456789abcde")
 
 
 def prefix(hash_hex: Column) -> Column:

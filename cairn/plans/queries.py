@@ -75,7 +75,10 @@ def parse_hash(spark, sf):
     return f.select("doc_id", H.parse_hash(text).alias("parsed"))
 
 
-@query()
+@query(
+    with_("files") + "SELECT doc_id, rpad(substr(n, 1, length(n) - 1) || translate(right(n, 1), '0123456789abcde', '123456789abcdef'), 152, '0') AS next, "
+    "rpad(substr(p, 1, length(p) - 1) || translate(right(p, 1), '123456789abcdef', '0123456789abcde'), 152, 'f') AS previous FROM (SELECT doc_id, rtrim(hash, 'f') AS n, rtrim(hash, '0') AS p FROM files)"
+)
 def hash_next_prev(spark, sf):
     f = D.files(spark, sf)
     return f.select("doc_id", H.next_hash(F.col("hash")).alias("next"), H.previous_hash(F.col("hash")).alias("previous"))

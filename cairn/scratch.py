@@ -12,6 +12,8 @@ def new_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):  # executors would each write to their own disk
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
