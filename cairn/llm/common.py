@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -12,27 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_folder as scratch_dir
+
 #: ASCII white space that separates words: \x20 and \x09-\x0D, which is also what bytes.split() cuts at.
 SPACES = " \t\n\x0b\x0c\r"
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the one all executors share (spark.checkpoint.dir).
-
-    Only where the session names none (tests, one machine) a temporary one is set.
-    """
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
-        root = context.getCheckpointDir()
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 _MADE: ContextVar[tuple[list[str], ...]] = ContextVar("_MADE", default=())
 
 
