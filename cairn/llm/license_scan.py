@@ -115,14 +115,36 @@ KNOWN = [
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("organisation", "organization")]
 
 
+def _spelled(text: Column) -> Column:
+    for old, new in SPELLINGS:
+        text = F.replace(text, F.lit(f" {old} "), F.lit(f" {new} "))
+    return text
+
+
+def _without_copyright(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"(?m)^\s*(copyright|©|\(c\))[^\n]*$", "")
+
+
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, no punctuation, one spelling, single spaces."""
-    x = F.regexp_replace(F.lower(text), r"(?m)^\s*(copyright|©|\(c\))[^\n]*$", "")
-    x = F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
-    x = F.concat(F.lit(" "), x, F.lit(" "))
-    for old, new in SPELLINGS:
-        x = F.replace(x, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(x)
+    x = F.trim(F.regexp_replace(_without_copyright(text), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(_spelled(F.concat(F.lit(" "), x, F.lit(" "))))
+
+
+def words_in_lines(text: Column) -> Column:
+    """The text without copyright lines and punctuation, its lines kept: what canonical and canonical_lines are made from."""
+    return F.regexp_replace(_without_copyright(text), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def canonical_of(x: Column) -> Column:
+    """canonical of a text from its words_in_lines."""
+    return F.trim(_spelled(F.concat(F.lit(" "), F.trim(F.regexp_replace(x, r"[ \n]+", " ")), F.lit(" "))))
+
+
+def canonical_lines(x: Column) -> Column:
+    """The distinct canonical forms of a text's lines, from its words_in_lines: gone through once, not line by line."""
+    x = _spelled(F.concat(F.lit(" "), F.replace(x, F.lit("\n"), F.lit(" \n ")), F.lit(" ")))
+    return F.filter(F.array_distinct(F.transform(F.split(x, "\n", -1), lambda y: F.trim(y))), lambda y: y != "")
 
 
 def canonical_texts(known: DataFrame) -> DataFrame:
@@ -140,19 +162,22 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     whole_text: the document as a whole is a known text.
     """
     known = canonical_texts(known_licenses(docs.sparkSession) if known is None else known)
-    bodies = known.where(F.size(F.split("c", " ")) >= BODY_WORDS).agg(F.collect_set("c").alias("bodies"))
+    long = known.where(F.size(F.split("c", " ")) >= BODY_WORDS)
+    every = long.agg(F.collect_set(F.struct("license_id", F.concat(F.lit(" "), "c", F.lit(" ")).alias("c"))).alias("every"))
+    # A body that holds another of its licence (under a title) need not be looked for: the other is found as well.
+    holds = lambda b: F.exists("every", lambda o: (o["license_id"] == b["license_id"]) & (o["c"] != b["c"]) & F.contains(b["c"], o["c"]))
+    bodies = every.select(F.array_distinct(F.transform(F.filter("every", lambda b: ~holds(b)), lambda b: b["c"])).alias("bodies"))
     # Rows get their keys in a written table: computed twice, keys need not be the same where rows come by a shuffle.
     keyed = written(texts(docs).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
-    row = keyed.withColumn("c", canonical(F.col("text"))).crossJoin(F.broadcast(bodies))
-    unit_of = lambda c, whole: F.struct(c.alias("c"), F.lit(whole).alias("whole"))
-    inside = F.filter("bodies", lambda b: F.contains(F.concat(F.lit(" "), F.col("c"), F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" "))))
+    # Made below the join: above it they would be made again for every body.
+    row = keyed.select("row", words_in_lines(F.col("text")).alias("x")).withColumn("c", canonical_of(F.col("x")))
+    row = row.withColumn("padded", F.concat(F.lit(" "), "c", F.lit(" "))).crossJoin(F.broadcast(bodies))
+    unit_of = lambda c, whole: F.struct(F.sha2(c, 256).alias("digest"), F.lit(whole).alias("whole"))
+    inside = F.transform(F.filter("bodies", lambda b: (F.length(b) <= F.length("padded")) & F.contains(F.col("padded"), b)), lambda b: F.trim(b))
     # Each line, each body inside, and the whole text, marked.
-    units = F.array_union(
-        F.transform(F.split("text", "\n", -1), lambda x: unit_of(canonical(x), False)),
-        F.concat(F.transform(inside, lambda x: unit_of(x, False)), F.array(unit_of(F.col("c"), True))),
-    )
-    row = row.select("row", F.filter(units, lambda u: u["c"] != "").alias("units"))
-    unit = row.where(F.size("units") > 0).select("row", F.explode("units").alias("u")).select("row", F.sha2("u.c", 256).alias("digest"), "u.whole")
+    units = F.concat(F.transform(F.concat(canonical_lines(F.col("x")), inside), lambda x: unit_of(x, False)), F.array(unit_of(F.col("c"), True)))
+    # Outer: a plain explode would test the array first, and so make it again.
+    unit = row.select("row", F.explode_outer(units).alias("u")).select("row", "u.digest", "u.whole")
     found = unit.join(known.select("license_id", F.sha2("c", 256).alias("digest")), "digest").groupBy("row").agg(F.array_sort(F.collect_set("license_id")).alias("ids"), F.max("whole").alias("whole"))
     return keyed.select("row", "doc_id").join(found, "row", "left").select(
         "doc_id",

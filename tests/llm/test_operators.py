@@ -467,6 +467,16 @@ def test_license_scan_finds_every_known_text(spark):
     assert {r.doc_id: (r.licenses, r.whole_text) for r in out.collect()} == {0: ("Beer", True), 1: ("Beer", False), 2: ("", False)}
 
 
+def test_canonical_lines(spark, docs, odd):
+    """The lines of a whole text in one pass are the canonical forms of its lines."""
+    text = F.coalesce("text", F.lit(""))
+    each = F.array_distinct(F.filter(F.transform(F.split(text, "\n", -1), license_scan.canonical), lambda x: x != ""))
+    strange = spark.createDataFrame([("Sub licence\nsub\nLicence, licence - Licence\r\n (c) me\n\n© x\nnoncommercial",)], "text string")
+    for df in (docs, odd, strange):
+        assert df.where(~F.array_sort(each).eqNullSafe(F.array_sort(license_scan.canonical_lines(license_scan.words_in_lines(text))))).count() == 0
+        assert df.where(license_scan.canonical(text) != license_scan.canonical_of(license_scan.words_in_lines(text))).count() == 0
+
+
 def test_license_scan_after_a_shuffle(spark):
     """Each row keeps its own licences where rows come by round robin."""
     df = spark.range(20000, numPartitions=9).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Released under the MIT License.").otherwise("no").alias("text"))
