@@ -173,7 +173,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     row = keyed.select("row", words_in_lines(F.col("text")).alias("x")).withColumn("c", canonical_of(F.col("x")))
     row = row.withColumn("padded", F.concat(F.lit(" "), "c", F.lit(" "))).crossJoin(F.broadcast(bodies))
     unit_of = lambda c, whole: F.struct(F.sha2(c, 256).alias("digest"), F.lit(whole).alias("whole"))
-    inside = F.transform(F.filter("bodies", lambda b: (F.length(b) <= F.length("padded")) & F.contains(F.col("padded"), b)), lambda b: F.trim(b))
+    inside = F.transform(F.filter("bodies", lambda b: (F.octet_length(b) <= F.octet_length("padded")) & F.contains(F.col("padded"), b)), lambda b: F.trim(b))
     # Each line, each body inside, and the whole text, marked.
     units = F.concat(F.transform(F.concat(canonical_lines(F.col("x")), inside), lambda x: unit_of(x, False)), F.array(unit_of(F.col("c"), True)))
     # Outer: a plain explode would test the array first, and so make it again.
