@@ -119,6 +119,15 @@ def percent_done(done: Column, total: Column) -> Column:
     return F.when(total <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.floor(done * 100 / total)))).cast("int")
 
 
+def map_put(values: Column, key: str, value: Column) -> Column:
+    """A map with a key set, whether it had it or not."""
+    return F.map_concat(map_without(values, [key]), F.create_map(F.lit(key), value))
+
+
+def map_without(values: Column, keys: list[str]) -> Column:
+    return F.map_filter(values, lambda k, v: ~k.isin(keys))
+
+
 def newline_tag(text: Column, decode: bool = False) -> Column:
     """Values on one line: line ends as a tag, and back."""
     return F.replace(text, F.lit("<<NL>>"), F.lit("\n")) if decode else F.replace(text, F.lit("\n"), F.lit("<<NL>>"))

@@ -37,6 +37,11 @@ def replay_deletes(log: DataFrame, since: int, until: int, held: DataFrame, user
     return own.groupBy("hash").agg(F.max("ts").alias("ts"))
 
 
+def with_signers(log: DataFrame, signers: DataFrame, key: str) -> DataFrame:
+    """Entries with who signed them, looked up by the key that both have."""
+    return log.join(signers, key)
+
+
 def append(log: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """New entries (host, seq and what they hold) as a host's log takes them: ts rises with each and is not before now or the log's last entry; index goes on
     from the log's last one. A host's new entries are one sorted pass."""

@@ -56,6 +56,35 @@ def insert_new(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return valid.join(stored.select("hash"), "hash", "left_anti")
 
 
+def delete(stored: DataFrame, gone: DataFrame) -> DataFrame:
+    """Stored rows without those of deleted hashes."""
+    return stored.join(gone.select("hash").distinct(), "hash", "left_anti")
+
+
+def with_prefix(stored: DataFrame, prefix: str) -> DataFrame:
+    """Stored rows whose hash begins with a prefix in hex, as it is typed."""
+    return stored.where(F.col("hash").startswith(prefix.lower()))
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """hash, in_a and in_b of all hashes of two sets."""
+    side = lambda df, x, y: df.select("hash", F.lit(x).alias("in_a"), F.lit(y).alias("in_b"))
+    return side(a, True, False).unionByName(side(b, False, True)).groupBy("hash").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+
+
+def bag(*lists: DataFrame) -> DataFrame:
+    """hash and n: how often each hash is in all lists together; nothing is made distinct."""
+    every = lists[0].select("hash")
+    for more in lists[1:]:
+        every = every.unionByName(more.select("hash"))
+    return every.groupBy("hash").agg(F.count("*").alias("n"))
+
+
+def is_disjoint(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether no hash is in both."""
+    return a.select("hash").join(b.select("hash"), "hash", "left_semi").agg((F.count("*") == 0).alias("disjoint"))
+
+
 def fetch(keys: DataFrame, stored: DataFrame, *columns: str) -> DataFrame:
     """keys (ordinal, hash) with the stored columns, null where missing: a batched get."""
     return keys.join(stored.select("hash", *columns), "hash", "left")

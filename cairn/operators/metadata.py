@@ -7,6 +7,7 @@ of strings) and annotations (name, value).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -122,6 +123,22 @@ def with_project_files(summary: DataFrame, parts: DataFrame, projects: DataFrame
     ).drop("_files", "_size", "_name", "_description", "_parsed")
 
 
+def project_sizes(files: DataFrame, by: str, length: Column, padding: Column) -> DataFrame:
+    """Per project: bytes without padding, as an exact sum (0 of nothing), and how many files."""
+    own = padded_length(length, padding).cast("decimal(20,0)")
+    return files.groupBy(by).agg(F.coalesce(F.sum(own), F.lit(0)).cast("decimal(38,0)").alias("size"), F.count("*").alias("files"))
+
+
+def distinct_hashes(files: DataFrame, by: str) -> DataFrame:
+    """Per group, how many different hashes there are."""
+    return files.groupBy(by).agg(F.count_distinct("hash").alias("n"))
+
+
+def sorted_parts(files: DataFrame, by: str, name: str = "name") -> DataFrame:
+    """Files with n, their place in their project by name."""
+    return files.withColumn("n", F.row_number().over(W.partitionBy(by).orderBy(name)).cast("long"))
+
+
 def shown(summary: DataFrame) -> DataFrame:
     """What a table shows: size and date as text (none of an encrypted, unpublished project) and its state."""
     closed = F.col("encrypted") & ~F.col("published")

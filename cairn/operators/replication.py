@@ -22,6 +22,11 @@ def plan(placement: DataFrame, candidates: DataFrame, required: int) -> DataFram
     return free.withColumn("turn", turn).where("turn <= lack").select("hash", "host", "in_span")
 
 
+def capacity_share(servers: DataFrame, capacity: str = "capacity") -> DataFrame:
+    """servers with share: their part of all capacity. Servers are few."""
+    return servers.withColumn("share", F.col(capacity) / F.sum(capacity).over(W.partitionBy()))
+
+
 def plan_copies(placement: DataFrame, keys: DataFrame, servers: DataFrame, required: int) -> DataFrame:
     """hash, host and in_span of copies to make for chunks on fewer than required servers: first to servers with the chunk in their span, then to others, by name.
 

@@ -92,7 +92,7 @@ def sort_hashes(spark, sf):
 
 @query(with_("keys") + "SELECT p_partkey, hash FROM keys WHERE starts_with(hash, 'a')")
 def hash_prefix(spark, sf):
-    return D.chunk_keys(spark, sf).where(F.col("hash").startswith("a")).select("p_partkey", "hash")
+    return K.with_prefix(D.chunk_keys(spark, sf), "A").select("p_partkey", "hash")
 
 
 @query(
@@ -144,7 +144,7 @@ def array_parts(spark, sf):
 @query("SELECT doc_id, CAST(quality AS VARCHAR) AS quality, 'yes' AS seen, 2 AS n FROM labels")
 def map_props(spark, sf):
     m = F.map_from_arrays(F.array(F.lit("quality"), F.lit("toxic")), F.array(F.col("quality").cast("string"), F.col("toxic").cast("string")))
-    kept = F.map_filter(F.map_concat(m, F.create_map(F.lit("seen"), F.lit("yes"))), lambda k, v: k != "toxic")
+    kept = S.map_without(S.map_put(m, "seen", F.lit("yes")), ["toxic"])
     return table(spark, sf, "labels").select("doc_id", kept["quality"].alias("quality"), kept["seen"].alias("seen"), F.size(kept).alias("n"))
 
 
@@ -178,7 +178,7 @@ def set_data_new(spark, sf):
 @query(with_("files") + ", " + _CHUNKS + " SELECT DISTINCT hash FROM hashed WHERE hash NOT IN (SELECT hash FROM hashed WHERE doc_id % 10 = 1)")
 def delete_data(spark, sf):
     c = _chunks(spark, sf).select("doc_id", "hash")
-    return c.select("hash").distinct().join(c.where("doc_id % 10 = 1").select("hash"), "hash", "left_anti")
+    return K.delete(c.select("hash").distinct(), c.where("doc_id % 10 = 1"))
 
 
 @query(with_("files") + ", " + _CHUNKS + " SELECT DISTINCT hash FROM hashed WHERE doc_id % 50 = 0 AND pos % 2 = 0")
@@ -246,8 +246,7 @@ def backup_partitions(spark, sf):
 
 @query("SELECT source AS project, CAST(sum(octet_length(encode(coalesce(text, ''))) - doc_id % 8) AS DECIMAL(38, 0)) AS size, count(*) AS files FROM documents GROUP BY 1")
 def project_size(spark, sf):
-    length = (F.octet_length(F.coalesce("text", F.lit(""))) - F.col("doc_id") % 8).cast("decimal(20,0)")
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.coalesce(F.sum(length), F.lit(0)).cast("decimal(38,0)").alias("size"), F.count("*").alias("files"))
+    return M.project_sizes(D.files(spark, sf), "project", F.octet_length("text").cast("long"), F.col("doc_id") % 8)
 
 
 # Activity
@@ -282,7 +281,7 @@ def activity_contains(spark, sf):
 @query(with_("activity") + "SELECT event_id, action, c_name AS signer FROM activity JOIN customer ON user_id = c_custkey")
 def activity_signatures(spark, sf):
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("signer"))
-    return D.activity(spark, sf).join(users, "user_id").select("event_id", "action", "signer")
+    return A.with_signers(D.activity(spark, sf), users, "user_id").select("event_id", "action", "signer")
 
 
 @query(with_("activity") + "SELECT min(ts) AS first, max(ts) AS last, count(*) AS n FROM activity")
@@ -517,7 +516,7 @@ def project_sort(spark, sf):
 
 @query(with_("servers") + "SELECT host, grp FROM servers WHERE regexp_matches(lower(host), '0[0-4]$')")
 def server_filter(spark, sf):
-    return D.servers(spark, sf).where(F.lower("host").rlike("0[0-4]$")).select("host", "grp")
+    return M.matching(D.servers(spark, sf), "0[0-4]$", "host").select("host", "grp")
 
 
 @query(with_("servers") + "SELECT host, capacity, row_number() OVER (ORDER BY capacity DESC, host) AS n FROM servers")
@@ -527,9 +526,7 @@ def server_sort(spark, sf):
 
 @query(with_("servers") + "SELECT host, CAST(floor(CAST(capacity AS DOUBLE) / (SELECT sum(capacity) FROM servers) * 1000000) AS BIGINT) AS ppm FROM servers")
 def server_share(spark, sf):
-    from pyspark.sql import Window as W
-
-    return D.servers(spark, sf).select("host", F.floor(F.col("capacity") / F.sum("capacity").over(W.partitionBy()) * 1000000).cast("long").alias("ppm"))
+    return R.capacity_share(D.servers(spark, sf)).select("host", F.floor(F.col("share") * 1000000).cast("long").alias("ppm"))
 
 
 @query(with_("servers") + "SELECT host FROM servers WHERE is_core AND is_online AND is_writable AND is_readable")
@@ -562,7 +559,7 @@ def meta_properties(spark, sf):
 @query("SELECT doc_id, [CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR)] AS v FROM labels".replace(" AS v", " AS \"values\""))
 def annotations_by_name(spark, sf):
     notes = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in (("mark", "quality"), ("mark", "toxic"), ("other", "doc_id"))])
-    return table(spark, sf, "labels").select("doc_id", F.transform(F.filter(notes, lambda x: x["name"] == "mark"), lambda x: x["value"]).alias("values"))
+    return table(spark, sf, "labels").select("doc_id", M.annotation_values(notes, "mark").alias("values"))
 
 
 @query(with_("servers") + "SELECT host, CASE WHEN suppkey % 2 = 0 THEN ['None', 'GZIP', 'AES'] ELSE ['None'] END AS enc, suppkey % 2 = 0 AND suppkey % 6 <> 0 AS locked, NOT (suppkey % 2 = 0 AND suppkey % 6 <> 0) AS shareable FROM servers".replace("CASE WHEN suppkey % 2 = 0 THEN ['None', 'GZIP', 'AES'] ELSE ['None'] END AS enc, ", ""))
@@ -571,14 +568,13 @@ def shareable(spark, sf):
     row = lambda name, phrase: F.struct(F.lit(name).alias("name"), phrase.alias("passphrase"))
     null = F.lit(None).cast("string")
     enc = F.when(k % 2 == 0, F.array(row("None", null), row("GZIP", null), row("AES", F.when(k % 6 == 0, F.lit("secret"))))).otherwise(F.array(row("None", null)))
-    locked = F.exists(enc, lambda e: (e["name"] == "AES") & e["passphrase"].isNull())
-    return D.servers(spark, sf).select("host", locked.alias("locked"), (~locked).alias("shareable"))
+    return D.servers(spark, sf).select("host", (~M.is_shareable(enc)).alias("locked"), M.is_shareable(enc).alias("shareable"))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'secret' END AS passphrase FROM labels")
 def publish_passphrase(spark, sf):
     enc = F.array(F.struct(F.lit("None").alias("name"), F.lit(None).cast("string").alias("passphrase")), F.struct(F.lit("AES").alias("name"), F.lit(None).cast("string").alias("passphrase")))
-    new = F.transform(enc, lambda e: F.when((e["name"] == "AES") & (F.col("toxic") == 1), e.withField("passphrase", F.lit("secret"))).otherwise(e))
+    new = M.with_passphrase(enc, F.when(F.col("toxic") == 1, "secret"))
     return table(spark, sf, "labels").select("doc_id", F.filter(new, lambda e: e["name"] == "AES")[0]["passphrase"].alias("passphrase"))
 
 
@@ -595,16 +591,13 @@ def csv_lookup(spark, sf):
 @query(with_("files") + "SELECT hash, bool_or(doc_id % 2 = 0) AS in_a, bool_or(doc_id % 3 = 0) AS in_b FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY hash")
 def hash_set_ops(spark, sf):
     f = D.files(spark, sf).select("doc_id", "hash")
-    a, b = f.where("doc_id % 2 = 0").select("hash").distinct(), f.where("doc_id % 3 = 0").select("hash").distinct()
-    yes, no = F.lit(True), F.lit(False)
-    both = a.intersect(b).select("hash", yes.alias("in_a"), yes.alias("in_b"))
-    return both.unionByName(a.join(b, "hash", "left_anti").select("hash", yes.alias("in_a"), no.alias("in_b"))).unionByName(b.join(a, "hash", "left_anti").select("hash", no.alias("in_a"), yes.alias("in_b")))
+    return K.union(f.where("doc_id % 2 = 0"), f.where("doc_id % 3 = 0"))
 
 
 @query(with_("files") + "SELECT hash, count(*) AS n FROM (SELECT hash FROM files UNION ALL SELECT hash FROM files WHERE doc_id % 2 = 0) GROUP BY hash")
 def hash_bag(spark, sf):
     f = D.files(spark, sf)
-    return f.select("hash").unionByName(f.where("doc_id % 2 = 0").select("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    return K.bag(f, f.where("doc_id % 2 = 0"))
 
 
 @query(with_("files") + "SELECT name, row_number() OVER (ORDER BY name, k) AS n FROM (SELECT name, 0 AS k FROM files UNION ALL SELECT name, 1 FROM files WHERE doc_id % 2 = 0)")
@@ -616,21 +609,18 @@ def part_bag(spark, sf):
 
 @query(with_("files") + "SELECT name, hash, row_number() OVER (PARTITION BY project ORDER BY name) AS n FROM files")
 def sorted_parts(spark, sf):
-    from pyspark.sql import Window as W
-
-    return D.files(spark, sf).select("name", "hash", F.row_number().over(W.partitionBy("project").orderBy("name")).cast("long").alias("n"))
+    return M.sorted_parts(D.files(spark, sf), "project").select("name", "hash", "n")
 
 
 @query(with_("files") + "SELECT count(*) = 0 AS disjoint FROM (SELECT hash FROM files WHERE doc_id % 2 = 0 INTERSECT SELECT hash FROM files WHERE doc_id % 2 = 1)")
 def is_disjoint(spark, sf):
     f = D.files(spark, sf)
-    both = f.where("doc_id % 2 = 0").select("hash").join(f.where("doc_id % 2 = 1").select("hash"), "hash", "left_semi")
-    return both.agg((F.count("*") == 0).alias("disjoint"))
+    return K.is_disjoint(f.where("doc_id % 2 = 0"), f.where("doc_id % 2 = 1"))
 
 
 @query(with_("files") + "SELECT project, count(DISTINCT hash) AS n FROM files GROUP BY project")
 def distinct_hashes(spark, sf):
-    return D.files(spark, sf).groupBy("project").agg(F.count_distinct("hash").alias("n"))
+    return M.distinct_hashes(D.files(spark, sf), "project")
 
 
 # Replication and healing
