@@ -85,6 +85,18 @@ def prefix(hash_hex: Column) -> Column:
     return F.conv(F.substring(hash_hex, 1, 2), 16, 10).cast("int").bitwiseXOR(F.lit(128))
 
 
+#: Whole-number coordinates of spans run from 0 to this.
+COORDINATES = 65536
+
+
+def coordinate_hash(place: Column) -> Column:
+    """The hash at a whole-number coordinate: the lowest hash for 0, else the last one of the place-th of 65,536 equal parts; null beyond them."""
+    digits = place.cast("int") - 1
+    byte = lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(255)).bitwiseXOR(F.lit(128)))), 2, "0")
+    inside = F.concat(byte(F.shiftright(digits, 8)), byte(digits), F.lit("7f" * (SIZE - 2)))
+    return F.when(place == 0, F.lit("80" * SIZE)).when(place.between(1, COORDINATES), inside)
+
+
 def bound(first_byte: int, upper: bool = False) -> str:
     """The lowest or highest hash (hex) with a first byte."""
     return f"{first_byte:02x}" + ("7f" if upper else "80") * (SIZE - 1)

@@ -157,6 +157,11 @@ def long_codec(spark, sf):
     return table(spark, sf, "events").select("event_id", S.bytes_long(S.long_bytes(n - 5000000000)).alias("back"), S.long_bytes(n).alias("bytes"))
 
 
+@query("SELECT event_id, CASE WHEN k = 0 THEN repeat('80', 76) WHEN k <= 65536 THEN lpad(lower(to_hex(xor((k - 1) // 256, 128))), 2, '0') || lpad(lower(to_hex(xor((k - 1) % 256, 128))), 2, '0') || repeat('7f', 74) END AS hash FROM (SELECT event_id, event_id * 7919 % 65600 AS k FROM events)")
+def span_coordinates(spark, sf):
+    return table(spark, sf, "events").select("event_id", H.coordinate_hash(F.col("event_id") * 7919 % 65600).alias("hash"))
+
+
 # Access
 
 

@@ -108,3 +108,9 @@ def test_tags(spark):
 def test_file_kinds(spark):
     for name, kind in {"a.csv": "spreadsheet", "A.XML": "html", "b.tar.gz": "archive", "c.gz": "other", "d.rtf": "text", "e.ppt": "presentation"}.items():
         assert one(spark, S.file_kind(F.lit(name)))[0] == kind
+
+
+def test_coordinates(spark):
+    want = {0: "80" * 76, 1: "8080" + "7f" * 74, 256: "807f" + "7f" * 74, 257: "8180" + "7f" * 74, 65536: "7f" * 76, 65537: None}
+    for k, x in want.items():
+        assert one(spark, H.coordinate_hash(F.lit(k)))[0] == x
