@@ -484,7 +484,7 @@ def _removed(shards: int, hot_shards: int, length: int, fold: bool, row_key: boo
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, row: str | None = None, fold: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with_text: also kept_text.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with_text: also kept_text. length: more than GRAM.
 
     kept_text is what is left, without the bytes of characters that a cut went through. row names a long column
     without nulls that is handed on as "row".
@@ -494,7 +494,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
     size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = int(size * 2 / (length - GRAM + 2)) // SHARD_KEYS + 1
     asked = blocks.mapInPandas(_ask(shards, length, fold), _REPLY)
-    status = written(asked.groupBy("shard").applyInPandas(_copies("status", fold, HOT_SEGMENTS), _REPLY), "status")
+    # A pick's segments and those that begin its index stay within the 21 bits of a place that sorting has room for.
+    most = min(HOT_SEGMENTS, INDEX_BYTES * 3 // 4 // (2 * length))
+    status = written(asked.groupBy("shard").applyInPandas(_copies("status", fold, most), _REPLY), "status")
     hot = status.agg(F.coalesce(F.sum("hot"), F.lit(0))).first()[0]
     hot_shards = -(-hot * (length - GRAM + 1) // SHARD_KEYS)
     sent = blocks.groupBy("block").cogroup(status.groupBy("block")).applyInPandas(_send(shards, hot_shards, length, fold), _REPLY)

@@ -160,6 +160,13 @@ def test_suffix_dedup_edges(spark, odd, none):
     assert (x.n_removed, x.n_spans) == (499, 1)
 
 
+def test_suffix_dedup_other_lengths(spark, docs):
+    df = docs.select("doc_id", "text").where("doc_id < 60")
+    for length in (40, 1500):
+        want = brute_dedup(text_of(df), length)
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(df, length).collect()} == want
+
+
 def test_run_index():
     """Matching statistics of other texts, and repeats of the index's own, against brute force."""
     rng = np.random.default_rng(1)
