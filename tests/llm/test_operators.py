@@ -237,7 +237,7 @@ def test_near_duplicate_rows(spark):
     assert out == dict(enumerate(want))
 
 
-@pytest.mark.parametrize("block", [512, 8, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicate_chains(spark, block, monkeypatch):
     """Chains of texts whose ends differ, some beside other classes: leaders do not reach all, blocks do."""
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
