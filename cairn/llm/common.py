@@ -21,6 +21,11 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MADE: ContextVar[tuple[list[str], ...]] = ContextVar("_MADE", default=())
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of finished jobs now; by itself it waits until the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Tables written within are deleted at the end, but for those written with keep: what leaves must be one of these."""
@@ -32,6 +37,7 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         for path in made:
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        drop_shuffles(spark)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, exact_ids, mix64, packed, texts, tidy, unpacked, written
+from .common import LOWER, drop_shuffles, exact_ids, mix64, packed, texts, tidy, unpacked, written
 
 BLOCK_BYTES = 12 << 20  # text of a block
 SHARD_KEYS = 1 << 20  # distinct keys that blocks send to one shard, about
@@ -333,8 +333,10 @@ def language_model(docs: DataFrame, train: Column, page_bits: int = PAGE_BITS) -
     asked = blocks.select("block", "hashes", "counts").mapInPandas(_ask_words(word_shards), _ASK)
     words = written(asked.groupBy("shard").applyInPandas(_word_shard(word_shards), _REPLY), "words")
     known = words.where("kind = 'words'")
+    drop_shuffles(docs.sparkSession)
     with tidy(docs.sparkSession):  # what was asked is not needed once it is answered
         asked = written(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_ask_bigrams(shards, word_shards, page_bits), _REPLY), "asked")
+        drop_shuffles(docs.sparkSession)
         bigrams = written(asked.where("kind = 'bigrams'").groupBy("shard", "z").applyInPandas(_bigram_shard(word_shards, page_bits), _REPLY), "bigrams", keep=True)
         parts = bigrams.where("kind = 'parts'").unionByName(asked.where("kind = 'ids'"))
         contexts = written(parts.groupBy("shard").applyInPandas(_context_shard, _REPLY), "contexts", keep=True)
