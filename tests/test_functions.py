@@ -114,3 +114,12 @@ def test_coordinates(spark):
     want = {0: "80" * 76, 1: "8080" + "7f" * 74, 256: "807f" + "7f" * 74, 257: "8180" + "7f" * 74, 65536: "7f" * 76, 65537: None}
     for k, x in want.items():
         assert one(spark, H.coordinate_hash(F.lit(k)))[0] == x
+
+
+def test_order_key_of_every_byte(spark):
+    """Signed order at every byte, in upper case too, without a function called for each byte."""
+    hashes = [f"{b:02x}" * 76 for b in range(256)] + [("80" * 75 + f"{b:02x}") for b in range(1, 256)]
+    df = spark.createDataFrame([(h,) for h in hashes], "h string").orderBy(H.order_key(F.col("h")))
+    assert [r.h for r in df.collect()] == sorted(hashes, key=lambda h: [(b ^ 128) for b in bytes.fromhex(h)])
+    assert one(spark, H.order_key(F.lit("AB" * 76)) == H.order_key(F.lit("ab" * 76)))[0]
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString() and one(spark, H.order_key(F.lit(None).cast("string")))[0] is None
