@@ -146,3 +146,14 @@ def test_download_sources_named_only(spark):
     assert pick() == [("b", 1), ("a", 3)] and pick(wanted=1) == [("b", 1)]
     assert pick(preferred=["a"], external=["x"]) == [("a", 0), ("b", 1), ("x", 2)]
     assert pick(preferred=["a"], unspecified=False) == [("a", 0)]
+def test_hashed_keys_are_not_broadcast(spark, sf):
+    """The file of keys is small, what is hashed from it is not."""
+    from cairn.plans.queries import QUERIES
+
+    for name in ("get_metadata", "has_data"):
+        assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    for name in ("heal_download", "drain_targets", "delete_everywhere", "heal_pages"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [p_partkey" in plan or "SortMergeJoin [l_partkey" in plan
+
+
