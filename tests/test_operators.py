@@ -157,3 +157,18 @@ def test_hashed_keys_are_not_broadcast(spark, sf):
         assert "SortMergeJoin [p_partkey" in plan or "SortMergeJoin [l_partkey" in plan
 
 
+def test_line_items_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """Tasks grow with the rows, not only with the session's partitions."""
+    from cairn.plans import domain as D
+    from cairn.plans.queries import QUERIES
+    from verify import rows
+
+    before = {name: rows(QUERIES[name](spark, sf).toPandas()) for name in ("replication_count", "retry_sources")}
+    monkeypatch.setattr(D, "TASK_ROWS", 100)
+    tasks = -(-D.table(spark, sf, "lineitem").count() // 100)
+    assert D.supplied(spark, sf).rdd.getNumPartitions() == tasks > 8
+    for name, want in before.items():
+        got = QUERIES[name](spark, sf)
+        assert f", {tasks})" in got._jdf.queryExecution().executedPlan().toString() and rows(got.toPandas()) == want
+
+
