@@ -172,3 +172,37 @@ def test_line_items_are_dealt_by_their_number(spark, sf, monkeypatch):
         assert f", {tasks})" in got._jdf.queryExecution().executedPlan().toString() and rows(got.toPandas()) == want
 
 
+def _routing_case(spark):
+    servers = spark.createDataFrame(
+        [(f"s{k:02}", k % 3 != 0, k % 7 != 0, k % 5 != 0, k % 4 != 0, k % 11, k * 37 % 256, min(255, k * 37 % 256 + 40)) for k in range(60)],
+        "host string, is_core boolean, is_online boolean, is_readable boolean, is_writable boolean, outstanding long, first int, last int",
+    )
+    chunks = spark.range(256).selectExpr("concat('h', id) AS hash", "CAST(id AS INT) AS place")
+    return servers, servers.select("host", "first", "last"), chunks
+
+
+def test_sources_are_ranked_by_place(spark, monkeypatch):
+    """Against a plain ranking of all servers for each chunk; places that no span holds have last-ditch sources only."""
+    servers, spans, chunks = _routing_case(spark)
+    more = chunks.unionByName(spark.createDataFrame([("none", None), ("far", 300)], "hash string, place int"))
+    hosts = servers.collect()
+
+    def plain(place, wanted, preferred, external):
+        out = []
+        for r in hosts:
+            able, near = r.is_online and r.is_readable, place is not None and r.first <= place <= r.last
+            own = 0 if r.is_writable else 1
+            tier = own if able and near else (own if able else None) if r.host in preferred else 2 if r.host in external else 3 if able else None
+            if tier is not None:
+                out.append((tier, r.outstanding, r.host))
+        return [(h, t) for t, _, h in sorted(out)][:wanted]
+
+    for wanted, most in ((3, 4096), (30, 4096), (None, 4096), (None, 1)):
+        monkeypatch.setattr(T, "MAX_SPANS", most)
+        got = {}
+        for r in T.download_sources(more, servers, spans, wanted, ["s02", "s07", "s12"], ["s09", "s12"]).orderBy("hash", "rank").collect():
+            got.setdefault(r.hash, []).append((r.host, r.tier))
+        assert got == {r.hash: plain(r.place, wanted, ["s02", "s07", "s12"], ["s09", "s12"]) for r in more.collect()}
+    assert T.ranked(servers, spans, F.lit(0), F.lit(1), ["host"], 2).count() == 257 * 2
+
+
