@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .routing import in_spans
+from .routing import known_place, ranked
 
 
 def counts(placement: DataFrame, required: int, by: str = "hash") -> DataFrame:
@@ -30,16 +30,14 @@ def capacity_share(servers: DataFrame, capacity: str = "capacity") -> DataFrame:
 def plan_copies(placement: DataFrame, keys: DataFrame, servers: DataFrame, required: int) -> DataFrame:
     """hash, host and in_span of copies to make for chunks on fewer than required servers: first to servers with the chunk in their span, then to others, by name.
 
-    Servers are few: their names are one row, of which a chunk takes only what it lacks.
+    A chunk that lacks copies is on fewer than required servers, so the first `required` servers at its place are enough to choose from.
     """
     have = placement.groupBy("hash").agg(F.collect_set("host").alias("have")).withColumn("lack", required - F.size("have")).where("lack > 0")
-    near = in_spans(keys.select("hash", "place"), servers.select("host", "first", "last")).groupBy("hash").agg(F.array_sort(F.collect_set("host")).alias("near"))
-    every = servers.agg(F.array_sort(F.collect_set("host")).alias("every"))
-    j = have.join(keys.select("hash").distinct(), "hash", "left_semi").join(near, "hash", "left").join(F.broadcast(every), F.lit(True))
-    own = F.array_except(F.coalesce("near", F.expr("slice(every, 1, 0)")), "have")
-    others = F.array_except(F.array_except("every", own), "have")
-    marked = lambda hosts, inside: F.transform(hosts, lambda x: F.struct(x.alias("host"), F.lit(inside).alias("in_span")))
-    picked = F.slice(F.concat(marked(own, True), marked(others, False)), 1, F.col("lack"))
+    hosts = servers.select("host").where("host IS NOT NULL").distinct()
+    lists = ranked(hosts, servers.select("host", "first", "last"), F.lit(0), F.lit(1), ["host"], required)
+    lists = lists.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("rank", "host", (F.col("tier") == 0).alias("in_span")))).alias("list"))
+    j = have.join(keys.select("hash", known_place().alias("place")).distinct(), "hash").join(F.broadcast(lists), "place")
+    picked = F.slice(F.filter("list", lambda s: ~F.array_contains("have", s["host"])), F.lit(1), F.col("lack"))
     return j.select("hash", F.explode(picked).alias("s")).select("hash", "s.host", "s.in_span")
 
 

@@ -206,3 +206,18 @@ def test_sources_are_ranked_by_place(spark, monkeypatch):
     assert T.ranked(servers, spans, F.lit(0), F.lit(1), ["host"], 2).count() == 257 * 2
 
 
+def test_plan_copies_picks_by_place(spark):
+    servers, spans, chunks = _routing_case(spark)
+    held = spark.createDataFrame([(f"h{p}", f"s{(p * k) % 60:02}") for p in range(256) for k in range(1, 1 + p % 6)], "hash string, host string")
+    have, where = {}, {r.host: (r.first, r.last) for r in spans.collect()}
+    for r in held.collect():
+        have.setdefault(r.hash, set()).add(r.host)
+    want = set()
+    for h, own in have.items():
+        inside = lambda x: where[x][0] <= int(h[1:]) <= where[x][1]  # noqa: B023, E731
+        rest = sorted((x for x in where if x not in own), key=lambda x: (not inside(x), x))
+        want |= {(h, x, inside(x)) for x in rest[: max(0, 4 - len(own))]}
+    out = R.plan_copies(held, chunks, servers, 4)
+    assert {tuple(r) for r in out.collect()} == want and "every" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
