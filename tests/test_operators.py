@@ -221,3 +221,16 @@ def test_plan_copies_picks_by_place(spark):
     assert {tuple(r) for r in out.collect()} == want and "every" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_routed_answers_go_by_copies(spark):
+    """Only servers that hold a chunk are looked at: spans are not spread over places."""
+    servers, spans, chunks = _routing_case(spark)
+    held = chunks.selectExpr("hash", "place", "concat('s', lpad(place % 60, 2, '0')) AS host").unionByName(chunks.selectExpr("hash", "place", "concat('s', lpad(place * 7 % 60, 2, '0')) AS host"))
+    where, met = {r.host: (r.first, r.last) for r in spans.collect()}, {}
+    for r in held.collect():
+        if where[r.host][0] <= r.place <= where[r.host][1]:
+            met[r.hash] = min(r.host, met.get(r.hash, r.host))
+    has, get = T.routed_has(chunks, spans, held), T.routed_get(chunks, spans, held)
+    assert {r.hash: r.host for r in get.collect()} == met and {r.hash: r.found for r in has.collect()} == {f"h{p}": f"h{p}" in met for p in range(256)}
+    assert all("explode" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (has, get))
+
+
