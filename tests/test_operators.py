@@ -234,3 +234,8 @@ def test_routed_answers_go_by_copies(spark):
     assert all("explode" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (has, get))
 
 
+def test_span_counts_join_no_spans(spark):
+    servers, spans, chunks = _routing_case(spark)
+    rows = spans.collect()
+    want = {f"h{p}": n for p in range(256) if (n := sum(r.first <= p <= r.last for r in rows))}
+    assert {r.hash: r.n for r in T.span_counts(chunks, spans).collect()} == want
