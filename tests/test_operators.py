@@ -181,6 +181,21 @@ def _routing_case(spark):
     return servers, servers.select("host", "first", "last"), chunks
 
 
+def test_upload_targets_compare_no_pairs(spark, monkeypatch):
+    """Each pair once, with sticky hosts that are routed too, twice named, or of an unknown chunk; pairs themselves are not made distinct."""
+    servers, spans, chunks = _routing_case(spark)
+    sticky = spark.createDataFrame([("h3", "s01"), ("h3", "s01"), ("h40", "s01"), ("zz", "s59"), ("h3", None)], "hash string, host string")
+    able = [r for r in servers.collect() if r.is_core and r.is_online and r.is_writable]
+    want = {(f"h{p}", r.host) for p in range(256) for r in able if r.first <= p <= r.last} | {(r.hash, r.host) for r in sticky.collect()}
+    doubled = spans.unionByName(spans)
+    for most in (T.MAX_SPANS, 1):
+        monkeypatch.setattr(T, "MAX_SPANS", most)
+        got = [tuple(r) for r in T.upload_targets(chunks.unionByName(chunks), servers, doubled, sticky).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = T.upload_targets(chunks, servers, spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith("Aggregate")
+
+
 def test_sources_are_ranked_by_place(spark, monkeypatch):
     """Against a plain ranking of all servers for each chunk; places that no span holds have last-ditch sources only."""
     servers, spans, chunks = _routing_case(spark)
