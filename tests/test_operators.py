@@ -146,6 +146,8 @@ def test_download_sources_named_only(spark):
     assert pick() == [("b", 1), ("a", 3)] and pick(wanted=1) == [("b", 1)]
     assert pick(preferred=["a"], external=["x"]) == [("a", 0), ("b", 1), ("x", 2)]
     assert pick(preferred=["a"], unspecified=False) == [("a", 0)]
+
+
 def test_hashed_keys_are_not_broadcast(spark, sf):
     """The file of keys is small, what is hashed from it is not."""
     from cairn.plans.queries import QUERIES
@@ -172,6 +174,18 @@ def test_line_items_are_dealt_by_their_number(spark, sf, monkeypatch):
         assert f", {tasks})" in got._jdf.queryExecution().executedPlan().toString() and rows(got.toPandas()) == want
 
 
+def test_many_spans_pair_in_blocks(spark, monkeypatch):
+    """Blocks give the pairs that a broadcast gives, copies of chunks and spans included, and only blocks meet in the join."""
+    chunks = spark.range(512).selectExpr("id AS hash", "CAST(id % 256 AS INT) AS place").union(spark.createDataFrame([(7, 7), (7, 7)], "hash long, place int"))
+    s = spark.createDataFrame([(f"s{k}", k * 37 % 256, min(255, k * 37 % 256 + 40)) for k in range(50)] + [("s1", 37, 77)], "host string, first int, last int")
+    pick = lambda: sorted(map(tuple, T.in_spans(chunks, s).select("hash", "place", "host", "first", "last").collect()))
+    want = pick()
+    monkeypatch.setattr(T, "MAX_SPANS", 1)
+    monkeypatch.setattr(T, "BLOCK", 3)
+    assert pick() == want
+    assert "inline(" in T.in_spans(chunks, s)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _routing_case(spark):
     servers = spark.createDataFrame(
         [(f"s{k:02}", k % 3 != 0, k % 7 != 0, k % 5 != 0, k % 4 != 0, k % 11, k * 37 % 256, min(255, k * 37 % 256 + 40)) for k in range(60)],
