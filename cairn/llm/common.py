@@ -26,6 +26,18 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written within are deleted as soon as it is, whenever the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Tables written within are deleted at the end, but for those written with keep: what leaves must be one of these."""

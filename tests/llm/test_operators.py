@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -628,3 +631,24 @@ def test_language_model_edges(spark, odd, none):
     assert len(out) == odd.count() and all(r.score <= 0 for r in out) and sum(r.doc_id is None for r in out) == 1
     blank = language_model.language_model(odd, F.lit(False)).collect()
     assert all(r.n_known == r.train_tokens == 0 and r.score == 0 for r in blank)
+
+
+def test_language_model_disk(spark, monkeypatch):
+    """Shuffle files go with the step that made them, and what is written stays below three quarters of the text's bytes."""
+    files = lambda: {x.rsplit("/", 1)[-1] for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",") if x.endswith(".data")}
+    old, write, sizes = files(), language_model.written, {}
+
+    def watched(df, name, **more):
+        out = write(df, name, **more)
+        sizes[name] = sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles())
+        end = time.time() + 10
+        while files() - old and time.time() < end:
+            time.sleep(0.1)
+        assert not files() - old, name
+        return out
+
+    monkeypatch.setattr(language_model, "written", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert language_model.language_model(docs, toxicity.fold("doc_id", 7) != 2).count() == docs.count()
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert sum(sizes.values()) < 0.75 * total, sizes
