@@ -23,3 +23,12 @@ def test_entry(spark):
     rows = e.entry(spark)
     assert rows.where("valid").count() == rows.count() > 0
     assert e.queries().keys() >= e.oracle_sql().keys()
+
+
+def test_route_download_names_all_sources(spark, sf):
+    """Every chunk meets every server that is online and readable, near ones first, and is not cut after some."""
+    from cairn.plans import domain as D
+
+    able = D.servers(spark, sf).where("is_online AND is_readable").count()
+    counts = QUERIES["route_download"](spark, sf).groupBy("hash").count().toPandas()["count"]
+    assert able > 3 and set(counts) == {able} and len(counts) == D.chunk_keys(spark, sf).count()
