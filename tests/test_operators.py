@@ -186,6 +186,24 @@ def test_many_spans_pair_in_blocks(spark, monkeypatch):
     assert "inline(" in T.in_spans(chunks, s)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tasks_write_few_chunks(spark, monkeypatch):
+    """Pairs of many spans come out by places, few chunks to a task and block by block, so that files of them stay small; chunks of one place may be dealt to several tasks."""
+    chunks = spark.range(2048).selectExpr("id AS hash", "CAST(id % 256 AS INT) AS place").unionByName(spark.createDataFrame([(5000, None), (5001, 300)], "hash long, place int"))
+    s = spark.createDataFrame([(f"s{k:02}", k * 37 % 256, min(255, k * 37 % 256 + 40)) for k in range(50)], "host string, first int, last int")
+    want = sorted(map(tuple, T.in_spans(chunks, s).select("hash", "host").collect()))
+    monkeypatch.setattr(T, "MAX_SPANS", 1)
+    monkeypatch.setattr(T, "BLOCK", 4)
+    for most, tasks in ((64, 33), (4, 768)):
+        monkeypatch.setattr(T, "TASK_CHUNKS", most, raising=False)
+        out = T.in_spans(chunks, s).select("hash", "place", "host", F.spark_partition_id().alias("task"))
+        got = out.toPandas()
+        assert sorted(zip(got["hash"], got["host"])) == want and out.rdd.getNumPartitions() == tasks
+        assert got.groupby("task")["hash"].nunique().max() <= 64 and got.groupby("task")["place"].nunique().max() <= 8
+        for _, rows in got.groupby(["task", "place"]):
+            blocks = rows["host"].map({h: k // 4 for k, h in enumerate(sorted(rows["host"].unique()))})
+            assert blocks.is_monotonic_increasing
+
+
 def _routing_case(spark):
     servers = spark.createDataFrame(
         [(f"s{k:02}", k % 3 != 0, k % 7 != 0, k % 5 != 0, k % 4 != 0, k % 11, k * 37 % 256, min(255, k * 37 % 256 + 40)) for k in range(60)],
