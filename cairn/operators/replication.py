@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .routing import known_place, ranked
 
+#: Characters of a hash that are sorted first.
+BEGIN = 16
+
 
 def counts(placement: DataFrame, required: int, by: str = "hash") -> DataFrame:
     """hash, n and enough: on how many servers each chunk is. A shorter key than the hash, named in by, takes less memory."""
@@ -41,18 +44,33 @@ def plan_copies(placement: DataFrame, keys: DataFrame, servers: DataFrame, requi
     return j.select("hash", F.explode(picked).alias("s")).select("hash", "s.host", "s.in_span")
 
 
-def heal_page(remote: DataFrame, local: DataFrame, cursors: DataFrame, first: int, last: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The next chunks to heal from each server, and the cursors after them.
+def heal_page(
+    remote: DataFrame, local: DataFrame, cursors: DataFrame, first: int, last: int, limit: int,
+    by: str = "hash", hashed: Column | None = None, begins: Column | None = None, known: bool = False, tasks: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The next chunks to heal from each server (host and hash), and the cursors after them.
 
     remote: host, hash, place; cursors: host and after (the last hash looked at; null or none: from the start). A page is the next `limit`
-    hashes of a host in the own span; what is held already is looked at, not fetched. A host whose page is not full starts over.
+    hashes of a host in the own span; what is held already is looked at, not fetched. A host whose page is not full starts over, and so does one without a
+    page, which has no cursor. known: only hosts with a cursor are asked. tasks: how many tasks to deal hosts to, where the session's partitions are too few.
+
+    A shorter key, named in by, may stand for the hash in remote and local; hashed makes the hash from it, begins a text that a hash begins with. Then keys are
+    sent and sorted by that text alone, and hashes made of what may be on a page.
     """
-    own = remote.where(F.col("place").between(first, last)).select("host", "hash").distinct().join(cursors, "host", "left")
-    own = own.where(F.col("after").isNull() | (F.col("hash") > F.col("after")))
-    page = own.withColumn("_n", F.row_number().over(W.partitionBy("host").orderBy("hash"))).where(F.col("_n") <= limit)
-    ends = page.groupBy("host").agg(F.max("hash").alias("end"), F.count("*").alias("n"))
-    moved = remote.select("host").distinct().join(ends, "host", "left").select("host", F.when(F.col("n") >= limit, F.col("end")).alias("after"))
-    return page.select("host", "hash").join(local.select("hash"), "hash", "left_anti"), moved
+    whole = F.col("hash") if hashed is None else hashed
+    begin = F.substring(whole if begins is None else begins, 1, BEGIN)
+    near = remote.where(F.col("place").between(first, last) & F.col("host").isNotNull()).select("host", by)
+    near = (near.repartition("host") if tasks is None else near.repartition(tasks, "host")).distinct().withColumn("_begin", begin)
+    at = F.substring("after", 1, BEGIN)
+    own = near.join(cursors.select("host", "after"), "host", "inner" if known else "left")
+    own = own.where(F.col("after").isNull() | (F.col("_begin") > at) | (F.col("_begin") == at) & (whole > F.col("after")))
+    # Fewer than limit beginnings come before that of any hash on the page; hashes that begin alike are told apart after that.
+    own = own.withColumn("_n", F.rank().over(W.partitionBy("host").orderBy("_begin"))).where(F.col("_n") <= limit).select("host", by, whole.alias("_hash"))
+    page = own.withColumn("_n", F.row_number().over(W.partitionBy("host").orderBy("_hash"))).where(F.col("_n") <= limit)
+    ends = page.groupBy("host").agg(F.max("_hash").alias("end"), F.count("*").alias("n"))
+    moved = ends.select("host", F.when(F.col("n") >= limit, F.col("end")).alias("after"))
+    lacking = page.select("host", by).join(local.select(by), by, "left_anti")
+    return lacking.select("host", whole.alias("hash")), moved
 
 
 def delete_everywhere(placement: DataFrame, gone: DataFrame, reachable: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -286,3 +286,36 @@ def test_span_counts_join_no_spans(spark):
     rows = spans.collect()
     want = {f"h{p}": n for p in range(256) if (n := sum(r.first <= p <= r.last for r in rows))}
     assert {r.hash: r.n for r in T.span_counts(chunks, spans).collect()} == want
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_heal_page_by_short_keys(spark, alike):
+    """Pages by a short key are those by the hash itself, also where all hashes begin alike; b has one full page and no more, c has none."""
+    name = lambda k: ("0" * 20 if alike else "") + f"{k * 7919 % 1000:03}" + "f" * 20
+    text = F.concat(F.lit("0" * 20 if alike else ""), F.lpad((F.col("key") * 7919 % 1000).cast("string"), 3, "0"))
+    held = [("a", k, k) for k in range(60)] + [("a", 7, 7), (None, 8, 8)] + [("b", k, 50) for k in range(5)] + [("c", k, 50) for k in range(3)] + [("d", 1, 255)]
+    remote = spark.createDataFrame([(h, k, name(k), p) for h, k, p in held], "host string, key int, hash string, place int")
+    local = spark.createDataFrame([(k, name(k)) for k in range(0, 60, 3)], "key int, hash string")
+    want = {h: sorted({name(k) for g, k, p in held if g == h and 2 <= p <= 55}) for h in "abc"}
+    lacks = lambda hashes: {x for x in hashes if x not in {name(k) for k in range(0, 60, 3)}}
+    for short in ({}, {"by": "key", "hashed": F.concat(text, F.lit("f" * 20)), "begins": text, "tasks": 3}):
+        after, done = spark.createDataFrame([], "host string, after string"), {}
+        for turn in range(3):
+            page, cursors = R.heal_page(remote, local, after, 2, 55, 5, known=turn > 0, **short)
+            for r in page.collect():
+                done.setdefault((r.host, turn), set()).add(r.hash)
+            at = {r.host: r.after for r in cursors.collect()}
+            assert at == {h: full[turn * 5 : turn * 5 + 5][-1] if len(full[turn * 5 :]) >= 5 else None for h, full in want.items() if full[turn * 5 :]}
+            after = spark.createDataFrame([x for x in at.items() if x[1]], "host string, after string")
+        assert done == {(h, t): x for h, full in want.items() for t in range(3) if (x := lacks(full[t * 5 : t * 5 + 5]))}
+
+
+def test_heal_pages_deals_no_hashes(spark, sf):
+    """What is dealt to hosts is part keys; hashes are made after that."""
+    from cairn.plans.queries import QUERIES
+
+    lines = QUERIES["heal_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    dealt = [k for k, line in enumerate(lines) if "Exchange hashpartitioning(host" in line]
+    below = [line for k in dealt for line in lines[k + 1 : next((j for j in range(k + 1, len(lines)) if depth(lines[j]) <= depth(lines[k])), len(lines))]]
+    assert dealt and not any("sha1(" in line for line in below)
